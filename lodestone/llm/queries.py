@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from . import decontaminate, mixing
 from .store import table
 
 
@@ -16,8 +16,51 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score_toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranking import fit, score_quality
+
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_scan import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_personal_data
+
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
+def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_crf import judge_lines
+
+    return judge_lines(table(spark, sf_dir, "documents")).drop("content_lines")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_ngram_jaccard": op1_ngram_jaccard,
+    f.__name__: f for f in (op1_ngram_jaccard, op2_source_mixing, op3_toxicity, op4_quality_ranking, op7_decontamination, op8_token_counts, op9_personal_data, op10_line_rules)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_source_mixing": mixing.SQL.format(docs="documents"),
+    "op7_decontamination": decontaminate.SQL.format(docs="documents"),
+}
