@@ -34,6 +34,12 @@ def op4_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_blocks import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -57,7 +63,7 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard, op2_source_mixing, op3_toxicity, op4_quality_ranking, op7_decontamination, op8_token_counts, op9_personal_data, op10_line_rules)
+    f.__name__: f for f in (op1_ngram_jaccard, op2_source_mixing, op3_toxicity, op4_quality_ranking, op5_html_blocks, op7_decontamination, op8_token_counts, op9_personal_data, op10_line_rules)
 }
 
 ORACLE_SQL: dict[str, str] = {
