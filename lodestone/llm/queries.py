@@ -40,6 +40,12 @@ def op5_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passages import digest, repeated_passages
+
+    return digest(repeated_passages(table(spark, sf_dir, "documents")))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -63,7 +69,7 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard, op2_source_mixing, op3_toxicity, op4_quality_ranking, op5_html_blocks, op7_decontamination, op8_token_counts, op9_personal_data, op10_line_rules)
+    f.__name__: f for f in (op1_ngram_jaccard, op2_source_mixing, op3_toxicity, op4_quality_ranking, op5_html_blocks, op6_suffix_dedup, op7_decontamination, op8_token_counts, op9_personal_data, op10_line_rules)
 }
 
 ORACLE_SQL: dict[str, str] = {
