@@ -202,7 +202,7 @@ def _slots(first: np.ndarray, whole: np.ndarray, begins: list[np.ndarray]) -> tu
     return np.tile(owner, 1 + len(begins)), (h >> tv.U64(64 - BITS)).astype(np.int64)
 
 
-def fit_linear(slots: list[tuple[np.ndarray, np.ndarray]], count: np.ndarray, y: np.ndarray, keep: int = 4096, steps: int = 300, rate: float = 0.3, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit_linear(slots: list[tuple[np.ndarray, np.ndarray]], count: np.ndarray, y: np.ndarray, keep: int = 4096, steps: int = 300, rate: float = 0.3, decay: float = 1e-4, threshold: float = 0.7) -> tuple[np.ndarray, float]:
     """Logistic regression on posterior labels over the ``keep`` slots that tell them apart best. slots: per text (slot, occurrences)."""
     weights = np.zeros(1 << BITS, np.float32)
     if not len(slots):
@@ -215,7 +215,7 @@ def fit_linear(slots: list[tuple[np.ndarray, np.ndarray]], count: np.ndarray, y:
     odds = np.log(((pos + 0.2) / p) / ((neg + 0.2) / q))
     gain = np.where((pos + neg >= 2), np.abs(odds) * np.maximum(pos / p, neg / q), 0)
     # Only units of toxic texts carry weight: what clean texts share says nothing about a text.
-    gain = np.where((odds > 1.5) & (pos >= 1.5), gain, 0)
+    gain = np.where((odds > 1.5) & (pos >= max(2.5, 0.002 * p)), gain, 0)
     chosen = np.sort(np.argsort(-gain, kind="stable")[:keep])
     chosen = chosen[gain[chosen] > 0]
     if not len(chosen):
@@ -241,6 +241,12 @@ def fit_linear(slots: list[tuple[np.ndarray, np.ndarray]], count: np.ndarray, y:
         np.maximum(w, 0, out=w)
         b -= rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
     weights[chosen] = w
+    # The threshold lies in the gap between the classes, nearer to the clean one, whose scores vary less on new texts.
+    z = np.bincount(owner, weights=w[at] * val, minlength=len(slots)) + b
+    if (y > 0.5).any() and (y <= 0.5).any():
+        low, high = np.quantile(z[y <= 0.5], 0.998), np.quantile(z[y > 0.5], 0.05)
+        if high > low:
+            b += np.log(threshold / (1 - threshold)) - (low + 0.4 * (high - low))
     return weights, float(b)
 
 
@@ -306,7 +312,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     order = np.lexsort((rows.column("n").to_numpy(), rows.column("p").to_numpy()))
     slot, times = rows.column("slot").to_pylist(), rows.column("times").to_pylist()
     pairs = [(np.frombuffer(slot[i], np.int32), np.frombuffer(times[i], np.int32)) for i in order]
-    weights, bias = fit_linear(pairs, rows.column("n").to_numpy()[order], rows.column("p").to_numpy()[order])
+    weights, bias = fit_linear(pairs, rows.column("n").to_numpy()[order], rows.column("p").to_numpy()[order], threshold=threshold)
     return ToxicModel(lexicons, label_model, weights, bias, threshold)
 
 
