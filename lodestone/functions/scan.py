@@ -82,6 +82,7 @@ class Scan:
         self.tokens = clone_tokens(source, self.tree)
         self.deletables = deletables(self.tree, source)
         self.suppressions = suppressions(source, rules, marker)
+        self.facts["makers"] = [{"name": k, "callee": v} for k, v in sorted(self.makers.items())]
         names = self.facts
         for k in ("attr_names", "attr_prefixes", "param_names", "path_literals", "package_wide"):
             names[k] = sorted(set(names[k]))

@@ -27,7 +27,7 @@ _PLACE = "line:int,column:int"
 SCANNED = f"""path string, rel_path string, module string, text string, exports array<string>, main_guard boolean, reads_globals boolean, resolution string,
 symbols array<struct<ordinal:int,name:string,kind:string,parent_ordinal:int,decorators:array<struct<name:string,keywords:array<string>,call:string,maker:string>>,bases:array<string>,open_base:boolean,class_keywords:array<string>,name_start:int,name_end:int,full_start:int,full_end:int,{_PLACE},full_line:int>>,
 imports array<struct<seq:int,module:string,attr:string,level:int,kind:string,condition:string,start:int,end:int,{_PLACE}>>,
-aliases array<struct<name:string,module:string,attr:string,top:boolean>>, uses array<struct<name:string,start:int,end:int>>,
+aliases array<struct<name:string,module:string,attr:string,top:boolean>>, makers array<struct<name:string,callee:string>>, uses array<struct<name:string,start:int,end:int>>,
 strings array<struct<name:string,start:int,end:int,{_PLACE}>>, attr_names array<string>, attr_prefixes array<string>, param_names array<string>, path_literals array<string>, package_wide array<string>,
 metrics array<struct<name:string,owner:string,line:int,column:int,lines:int,parameters:int,cyclomatic:int,cognitive:int,max_nesting:int>>,
 tokens array<struct<kind:string,text:string,line:int,nesting:string>>, deletables array<struct<name:string,line:int,column:int,start:int,end:int,would_be_empty:boolean>>,
@@ -54,7 +54,7 @@ def _budget(seconds: int) -> Iterator[None]:
 
 
 def _scanner(root: str, marker: str):
-    lists = ("symbols", "imports", "aliases", "uses", "strings", "attr_names", "attr_prefixes", "param_names", "path_literals", "package_wide", "metrics", "tokens", "deletables", "suppressions")
+    lists = ("symbols", "imports", "aliases", "makers", "uses", "strings", "attr_names", "attr_prefixes", "param_names", "path_literals", "package_wide", "metrics", "tokens", "deletables", "suppressions")
 
     def one(path: str, text: str) -> dict:
         rel = path.removeprefix(root.rstrip("/") + "/") if root else path
@@ -132,7 +132,7 @@ def project_facts(sources: DataFrame, root: str = "", config: Config | None = No
     symbols = _each(rows, "symbols").cache()
     aliases = rows.select("file_id", "module", F.explode("aliases").alias("a")).select("file_id", "module", F.col("a.name").alias("name"), F.col("a.module").alias("to"), F.col("a.attr").alias("attr")).cache()
     refs, bases = _resolve(rows, symbols, aliases, modules)
-    origin = _decorator_origin(symbols, aliases)
+    origin = _decorator_origin(rows, symbols, aliases, modules, distributions)
     tables = {
         "files": files, "symbols": _final_symbols(symbols, origin), "refs": refs, "imports": _imports(rows, modules), "ext_imports": _external(rows, modules, distributions),
         "attr_names": _net(rows, extra_names),
@@ -264,12 +264,30 @@ def _ancestry_tables(symbols: DataFrame, classes: DataFrame, every: DataFrame, f
     return ancestry, near_over.union(far_over).distinct(), registered
 
 
-def _decorator_origin(symbols: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(file_id, ordinal, pos, module): the module that a decorator's head, or the call that made it, was imported from."""
-    d = symbols.select("file_id", "ordinal", F.posexplode("decorators").alias("pos", "d")).select("file_id", "ordinal", "pos", F.coalesce("d.maker", "d.name").alias("name"))
-    d = d.withColumn("head", F.split("name", r"\.")[0])
-    by = aliases.where("name <> '*'").groupBy("file_id", F.col("name").alias("head")).agg(F.min("to").alias("module"))
-    return d.join(by, ["file_id", "head"]).select("file_id", "ordinal", "pos", "module")
+def _decorator_origin(rows: DataFrame, symbols: DataFrame, aliases: DataFrame, modules: DataFrame, distributions: DataFrame | None) -> DataFrame:
+    """(file_id, ordinal, pos, module): where a decorator, or the call that made the object it hangs on, is defined.
+
+    Only what resolves has a module: the project's own, the standard library's,
+    or one that an installed distribution provides. An object of another project
+    file is followed to the call that made it there, one step.
+    """
+    known = modules.select(F.col("module").alias("m"), F.col("target"))
+    tops = rows.sparkSession.createDataFrame([(t,) for t in _STD], "top string")
+    if distributions is not None:
+        tops = tops.union(distributions.select("top_level")).distinct()
+    links = aliases.where("name <> '*'").groupBy("file_id", F.col("name").alias("head")).agg(F.min(F.struct("to", "attr")).alias("l")).select("file_id", "head", "l.to", "l.attr")
+    links = links.join(known, F.col("to") == F.col("m"), "left").drop("m").join(tops, F.split("to", r"\.")[0] == F.col("top"), "left")
+    links = links.select("file_id", "head", "to", "attr", "target", (F.col("target").isNotNull() | F.col("top").isNotNull()).alias("resolved"))
+    made = rows.select(F.col("file_id").alias("target"), F.explode("makers").alias("k")).select("target", F.col("k.name").alias("attr"), F.split("k.callee", r"\.")[0].alias("callee"))
+    there = links.select(F.col("file_id").alias("target"), F.col("head").alias("callee"), F.col("to").alias("made_in"), F.col("resolved").alias("made_resolved"))
+    far = made.join(there, ["target", "callee"])
+    links = links.join(far, ["target", "attr"], "left")
+    module = F.when(F.col("made_in").isNotNull(), F.when(F.col("made_resolved"), F.col("made_in"))).when(F.col("resolved"), F.col("to"))
+    links = links.select("file_id", "head", module.alias("module"), F.lit(True).alias("linked"))
+    own = symbols.where("parent_ordinal is null").select("file_id", F.col("name").alias("head")).distinct().join(rows.select("file_id", F.col("module").alias("home")), "file_id")
+    d = symbols.select("file_id", "ordinal", F.posexplode("decorators").alias("pos", "d")).select("file_id", "ordinal", "pos", F.split(F.coalesce("d.maker", "d.name"), r"\.")[0].alias("head"))
+    got = d.join(links, ["file_id", "head"], "left").join(own, ["file_id", "head"], "left")
+    return got.select("file_id", "ordinal", "pos", F.when(F.col("linked"), F.col("module")).otherwise(F.col("home")).alias("module")).where("module is not null")
 
 
 def _final_symbols(symbols: DataFrame, origin: DataFrame) -> DataFrame:
