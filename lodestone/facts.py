@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,9 +36,9 @@ SCHEMAS: dict[str, str] = {
 
 
 class FactSet:
-    """Lazily built tables by name; a table that was not given is empty."""
+    """Tables by name, each a DataFrame or a function that builds it when it is first asked for; a table that was not given is empty."""
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame]):
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame | Callable[[], DataFrame]]):
         self.spark = spark
         self._tables = tables
 
@@ -47,6 +47,8 @@ class FactSet:
             raise AttributeError(name)
         if name not in self._tables:
             self._tables[name] = self.spark.createDataFrame([], SCHEMAS[name])
+        if not isinstance(self._tables[name], DataFrame):
+            self._tables[name] = self._tables[name]()
         return self._tables[name]
 
     @classmethod

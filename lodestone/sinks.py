@@ -66,7 +66,7 @@ def annotations(findings: DataFrame, root: str = "", tool: str = "lodestone") ->
 
 def markdown(findings: DataFrame, files: int, root: str = "", tool: str = "lodestone", marker: bool = False) -> str:
     path = relative(root) if root else F.col("path")
-    row = F.concat(F.lit("| `"), "rule", F.lit("` | `"), F.concat_ws(":", path, "line"), F.lit("` | "), F.regexp_replace("message", r"\|", r"\\\\|"), F.lit(" | "), "confidence", F.lit(" |"))
+    row = F.concat(F.lit("| `"), "rule", F.lit("` | `"), F.concat_ws(":", path, "line"), F.lit("` | "), F.replace("message", F.lit("|"), F.lit("\\|")), F.lit(" | "), "confidence", F.lit(" |"))
     rows = [r.t for r in findings.select(row.alias("t")).collect()]
     head = f"<!-- {tool} -->\n" if marker else ""
     if not rows:

@@ -6,6 +6,7 @@ import signal
 import threading
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -131,22 +132,27 @@ def project_facts(sources: DataFrame, root: str = "", config: Config | None = No
     modules = files.where("module is not null").groupBy("module").agg(F.min_by("file_id", F.struct(F.col("path").endswith(".pyi"), "file_id")).alias("target")).cache()
     symbols = _each(rows, "symbols").cache()
     aliases = rows.select("file_id", "module", F.explode("aliases").alias("a")).select("file_id", "module", F.col("a.name").alias("name"), F.col("a.module").alias("to"), F.col("a.attr").alias("attr")).cache()
-    refs, bases = _resolve(rows, symbols, aliases, modules)
-    origin = _decorator_origin(rows, symbols, aliases, modules, distributions)
+
+    # What only some analyses need is built when one of them asks.
+    @cache
+    def resolved() -> tuple[DataFrame, DataFrame]:
+        return _resolve(rows, symbols, aliases, modules)
+
+    @cache
+    def inheritance() -> tuple[DataFrame, DataFrame, DataFrame]:
+        named = symbols.join(rows.select("file_id", "module"), "file_id").withColumn("qualified", F.concat_ws(".", "module", "name"))
+        return tuple(cut(t) for t in _ancestry(named, resolved()[1]))
+
+    listed = lambda name: rows.select("file_id", F.posexplode(name).alias("seq", "x")).select("file_id", "seq", "x.*")
+    words = lambda column, name: rows.select(F.explode(column).alias(name)).distinct()
     tables = {
-        "files": files, "symbols": _final_symbols(symbols, origin), "refs": refs, "imports": _imports(rows, modules), "ext_imports": _external(rows, modules, distributions),
-        "attr_names": _net(rows, extra_names),
-        "attr_prefixes": rows.select(F.explode("attr_prefixes").alias("prefix")).distinct(), "param_names": rows.select(F.explode("param_names").alias("name")).distinct(),
-        "path_literals": rows.select(F.explode("path_literals").alias("literal")).distinct(),
-        "suppressions": rows.select("file_id", F.posexplode("suppressions").alias("seq", "x")).select("file_id", "seq", "x.*"),
-        "function_metrics": rows.select("file_id", F.posexplode("metrics").alias("seq", "x")).select("file_id", "seq", "x.*"),
-        "tokens": rows.select("file_id", F.posexplode("tokens").alias("seq", "x")).select("file_id", "seq", "x.*"),
-        "deletables": rows.select("file_id", F.posexplode("deletables").alias("seq", "x")).select("file_id", "seq", "x.*"),
-        "sources": rows.select("file_id", "text"),
+        "files": files, "symbols": lambda: _final_symbols(symbols, _decorator_origin(rows, symbols, aliases, modules, distributions)), "refs": lambda: resolved()[0],
+        "imports": lambda: _imports(rows, modules), "ext_imports": lambda: _external(rows, modules, distributions),
+        "ancestry": lambda: inheritance()[0], "overrides": lambda: inheritance()[1], "registered": lambda: inheritance()[2],
+        "attr_names": _net(rows, extra_names), "attr_prefixes": words("attr_prefixes", "prefix"), "param_names": words("param_names", "name"), "path_literals": words("path_literals", "literal"),
+        "suppressions": listed("suppressions"), "function_metrics": listed("metrics"), "tokens": listed("tokens"), "deletables": listed("deletables"), "sources": rows.select("file_id", "text"),
     }
-    named = symbols.join(rows.select("file_id", "module"), "file_id").withColumn("qualified", F.concat_ws(".", "module", "name"))
-    ancestry, overrides, registered = _ancestry(named, bases)
-    return FactSet(rows.sparkSession, tables | {"ancestry": ancestry, "overrides": overrides, "registered": registered})
+    return FactSet(rows.sparkSession, tables)
 
 
 def _net(rows: DataFrame, extra: DataFrame | None) -> DataFrame:
