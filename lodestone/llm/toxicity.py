@@ -27,7 +27,7 @@ from .hashed import bounded_sample, map_texts, remainder, sigmoid, word_units
 LEXICON = ("idiot", "idiots", "moron", "morons", "stupid", "scum", "trash", "garbage", "loser", "losers", "pathetic", "worthless", "disgusting", "clown", "filthy", "vermin", "imbecile", "dumbass")
 #: Bounds of what fits use: labelled rows to mine lexicons, texts to train the classifier.
 MAX_LABELLED = 6_000
-MAX_TRAINING = 8_000
+MAX_TRAINING = 5_000
 #: Bytes of word beginnings; mined beginnings of each length are one voter.
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
 BITS = 20
@@ -84,8 +84,8 @@ def mine(units: np.ndarray, owner: np.ndarray, toxic: np.ndarray, least: int = 3
     """Hashes that occur in ``least`` toxic texts or more and at ``ratio`` times the rate of the clean texts. units and owner: pairs of unit and text."""
     if not len(units):
         return np.zeros(0, tv.U64)
-    pairs = np.unique(np.stack([units, owner.astype(tv.U64)]), axis=1)
-    units, owner = pairs[0], pairs[1].astype(np.int64)
+    once = np.unique(tv.mix(units + tv.mix(owner.astype(tv.U64) + tv.U64(1))), return_index=True)[1]
+    units, owner = units[once], owner[once]
     names, at = np.unique(units, return_inverse=True)
     pos = np.bincount(at[toxic[owner]], minlength=len(names))
     neg = np.bincount(at[~toxic[owner]], minlength=len(names))
@@ -207,7 +207,7 @@ def fit_linear(slots: list[tuple[np.ndarray, np.ndarray]], count: np.ndarray, y:
     weights = np.zeros(1 << BITS, np.float32)
     if not len(slots):
         return weights, -3.0
-    owner = np.repeat(np.arange(len(slots)), [len(s) for s, _ in slots])
+    owner = np.repeat(np.arange(len(slots), dtype=np.int32), [len(s) for s, _ in slots])
     slot, times = np.concatenate([s for s, _ in slots]), np.concatenate([t for _, t in slots])
     pos = np.bincount(slot, weights=y[owner], minlength=1 << BITS)
     neg = np.bincount(slot, weights=1 - y[owner], minlength=1 << BITS)
@@ -307,12 +307,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             ["p", "n", "slot", "times"],
         )
 
-    sample = bounded_sample(src.where(remainder(F.col("_id"), folds) != held).select("_id").distinct(), training // 2, F.col("_id")).union(rare.select("_id")).distinct()
+    sample = bounded_sample(src.where(remainder(F.col("_id"), folds) != held).select("_id").distinct(), training // 2, F.col("_id")).union(bounded_sample(rare.select("_id"), training // 2, F.col("_id"))).distinct()
     rows = map_texts(src.join(F.broadcast(sample), "_id").select("text"), "text", "p double, n bigint, slot binary, times binary", learn).toArrow()
     order = np.lexsort((rows.column("n").to_numpy(), rows.column("p").to_numpy()))
+    n, p = rows.column("n").to_numpy()[order], rows.column("p").to_numpy()[order]
     slot, times = rows.column("slot").to_pylist(), rows.column("times").to_pylist()
+    del rows
     pairs = [(np.frombuffer(slot[i], np.int32), np.frombuffer(times[i], np.int32)) for i in order]
-    weights, bias = fit_linear(pairs, rows.column("n").to_numpy()[order], rows.column("p").to_numpy()[order], threshold=threshold)
+    weights, bias = fit_linear(pairs, n, p, threshold=threshold)
     return ToxicModel(lexicons, label_model, weights, bias, threshold)
 
 
