@@ -149,7 +149,7 @@ def _pieces_wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for at in range(0, batch.num_rows, 200):
             rows = batch.slice(at, 200)
-            fp, ids, hs, lo, data = [], [], [], [], []
+            fp, ids, lo, data = [], [], [], []
             for k, (text, want) in enumerate(zip(rows.column(2).cast(pa.binary()).to_pylist(), rows.column(3).to_pylist(), strict=True)):
                 for x in want or ():
                     fp.append(x["fp"])
