@@ -67,9 +67,10 @@ def _signer(text: str, n: int, bands: int, rows: int):
                     np.minimum(low, h.min(axis=1), out=low)
                 out[i] = (low.reshape(bands, rows).astype(np.uint64) * salt).sum(axis=1, dtype=np.uint64)
                 nodes.append(node_of(g))
+            counts = pa.array([len(g) for g in sets], pa.int64())
             out = tv.mix(out).view(np.int64)
             lists = pa.ListArray.from_arrays(np.arange(0, out.size + 1, bands, dtype=np.int32), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([*(c for k, c in zip(part.schema.names, part.columns) if k != text), pa.array(nodes, pa.binary()), lists], [*(k for k in part.schema.names if k != text), "node", "bands"])
+            yield pa.RecordBatch.from_arrays([*(c for k, c in zip(part.schema.names, part.columns) if k != text), pa.array(nodes, pa.binary()), counts, lists], [*(k for k in part.schema.names if k != text), "node", "n_grams", "bands"])
 
     return sign
 
@@ -130,11 +131,12 @@ def _verifier(threshold: float):
     return run
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.999, block: int = 512, carry: tuple[str, ...] = ()) -> DataFrame:
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.999, block: int = 512, block_grams: int = 4_000_000, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, class_id, n_links, n_copies, class_node, and the columns of ``carry``.
 
     class_id is the least id among the documents of the class (null if all its
-    ids are null); n_links counts the other different texts that share 0.8 of
+    ids are null); a candidate class is split so that a block has about ``block``
+    texts or ``block_grams`` n-grams, whichever is less; n_links counts the other different texts that share 0.8 of
     their n-grams with it; n_copies the rows whose n-gram set is the same, itself
     included. Words are runs of ASCII letters, digits and non-ASCII characters,
     A-Z lower-cased. A text of fewer than ``n`` words is one gram of all its
@@ -145,14 +147,15 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands, rows = choose_bands(threshold, recall)
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *carry)
     kept = "".join(f"{c} {src.schema[c].dataType.simpleString()}, " for c in ("id", *carry))
-    signed = cut(src.mapInArrow(_signer("text", n, bands, rows), f"{kept}node binary, bands array<bigint>"))
-    nodes = signed.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("n_copies"), F.any_value("bands").alias("bands"))
+    signed = cut(src.mapInArrow(_signer("text", n, bands, rows), f"{kept}node binary, n_grams bigint, bands array<bigint>"))
+    nodes = signed.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("n_copies"), F.any_value("n_grams").alias("n_grams"), F.any_value("bands").alias("bands"))
     keyed = nodes.select("node", F.posexplode("bands").alias("band", "h"))
     hubs = keyed.groupBy("band", "h").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1")
     ties = keyed.join(hubs, ["band", "h"]).select(F.col("node").alias("a"), F.col("hub").alias("b"))
     cand = cut(components(ties).withColumnRenamed("root", "cand"))
-    sizes = cand.groupBy("cand").agg(F.count("*").alias("size"))
-    placed = cand.join(sizes, "cand").withColumn("nb", F.ceil(F.col("size") / block).cast("int"))
+    cand = cand.join(nodes.select("node", "n_grams"), "node")
+    sizes = cand.groupBy("cand").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_grams") / block_grams)).cast("int").alias("nb"))
+    placed = cand.drop("n_grams").join(sizes, "cand")
     placed = placed.withColumn("side", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     grams = src.select("text").mapInArrow(_gram_rows("text", n), "node binary, grams binary").join(placed, "node").groupBy("node").agg(*(F.first(c).alias(c) for c in ("cand", "side", "nb", "grams")))
     groups = grams.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
@@ -167,7 +170,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = named.groupBy("root").agg(F.min("least").alias("class_least"))
     linked = roots.join(least, "root").join(links, "node").select("node", F.col("root").alias("class_node"), "class_least", "n_links")
     per_node = small.join(linked, "node", "left")
-    return signed.drop("bands").join(per_node, "node").select(
+    return signed.drop("bands", "n_grams").join(per_node, "node").select(
         F.col("id").alias(id_col), F.coalesce("class_least", "least").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies", F.coalesce("class_node", "node").alias("class_node"), *carry
     )
 
