@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than cores is dealt out before costly expressions; a larger one stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -189,7 +195,7 @@ k AS (SELECT win, count(*) AS n FROM x GROUP BY win HAVING count(*) BETWEEN 2 AN
 SELECT doc_id, CAST(s - 1 AS INTEGER) AS at, CAST(n AS BIGINT) AS n FROM x JOIN k USING (win)""")
 def clone_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.filter(F.split(F.lower("text"), "\\s+"), lambda x: x != "")
-    found = ngram.windows(table(spark, sf_dir, "documents").select("doc_id", words.alias("t")), "doc_id", "t", 50)
+    found = ngram.windows(spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", words.alias("t")), "doc_id", "t", 50)
     return found.join(ngram.in_band(found), "key").select("doc_id", "at", "n")
 
 
