@@ -94,6 +94,45 @@ def mine(units: np.ndarray, owner: np.ndarray, toxic: np.ndarray, least: int = 3
     return names[(pos >= max(least, 0.004 * p)) & (rate >= ratio)]
 
 
+def near_copies(sets: list[np.ndarray], least: float = 0.8) -> np.ndarray:
+    """Class of each set of different hashes: equal sets, and sets linked by pairs whose Jaccard similarity is ``least`` or more.
+
+    Similar sets share one of their rarest members, so none is missed; every pair is compared whole.
+    """
+    keys: dict[bytes, int] = {}
+    which = np.array([keys.setdefault(np.sort(s).tobytes(), len(keys)) for s in sets], int)
+    if not keys:
+        return which
+    size = np.array([len(k) // 8 for k in keys])
+    first = np.append(0, np.cumsum(size))
+    _, at, count = np.unique(np.frombuffer(b"".join(keys), tv.U64), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    member = rank[at]
+    member = member[np.lexsort((member, np.repeat(np.arange(len(size)), size)))]
+    parent = list(range(len(size)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    here, holders = np.zeros(len(count), bool), {}
+    for i in np.argsort(size, kind="stable").tolist():
+        own = member[first[i] : first[i + 1]]
+        rare = own[: len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1].tolist()
+        here[own] = True
+        for j in sorted({j for t in rare for j in holders.get(t, ()) if size[j] >= least * len(own) - 1e-9}):
+            if root(i) != root(j):
+                both = int(here[member[first[j] : first[j + 1]]].sum())
+                if both >= least * (len(own) + size[j] - both) - 1e-9:
+                    parent[root(i)] = root(j)
+        here[own] = False
+        for t in rare:
+            holders.setdefault(t, []).append(i)
+    return np.array([root(i) for i in range(len(size))])[which]
+
+
 @dataclass
 class LabelModel:
     """P(toxic | votes) from class-conditional tables over a tree of voters."""
@@ -272,10 +311,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     got = map_texts(src.join(F.broadcast(one), "_id").select("y", "text"), "text", "y int, units array<binary>", units).toArrow()
     toxic = got.column("y").to_numpy() == 1
     lists = got.column("units").to_pylist()
-    # Near copies count once: texts with the same least word hash are one text to the miner.
-    least = np.array([tv.mix(np.frombuffer(u[0], tv.U64) ^ tv.U64(0xA24BAED4963EE407)).min() if u[0] else 0 for u in lists], tv.U64)
-    names, group = np.unique(np.stack([least, toxic.astype(tv.U64)]), axis=1, return_inverse=True) if len(lists) else (np.zeros((2, 0)), np.zeros(0, int))
-    group, group_toxic = group.ravel(), names[1] == 1
+    # Near copies count once: those of one label are one text to the miner.
+    group = np.zeros(len(lists), int)
+    for y in (True, False):
+        k = np.flatnonzero(toxic == y)
+        group[k] = 2 * near_copies([np.frombuffer(lists[i][0], tv.U64) for i in k]) + y
+    names, group = np.unique(group, return_inverse=True)
+    group_toxic = names % 2 == 1
     mined = []
     for k in range(1 + len(BEGINNINGS)):
         h = [np.frombuffer(u[k], tv.U64) for u in lists]

@@ -150,6 +150,32 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(spark.createDataFrame([], DOCS), model).count() == 0
 
 
+def test_only_near_copies_count_once():
+    rng = np.random.default_rng(3)
+    sets = [rng.choice(400, rng.integers(0, 40), replace=False).astype(np.uint64) for _ in range(60)]
+    sets += [s[rng.random(len(s)) < 0.9] for s in sets[:40]] + [s[::-1] for s in sets[:5]]
+    share = lambda a, b: len(np.intersect1d(a, b)) / max(len(np.union1d(a, b)), 1)
+    truth = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if share(a, b) >= 0.8 or not len(a) and not len(b):
+                truth = [truth[j] if t == truth[i] else t for t in truth]
+    got = toxicity.near_copies(sets)
+    assert len(set(got)) == len(set(truth)) == len(set(zip(got, truth, strict=True)))
+    assert len(toxicity.near_copies([])) == 0
+
+
+def test_texts_with_one_common_word_are_mined_apart(spark):
+    names = tuple(f"c{k}" for k in range(100_000))
+    raw = np.frombuffer(" ".join(names).encode(), np.uint8)
+    whole = textvec.text_words(np.array([0, len(raw)]), raw)[3]
+    common = names[int(textvec.mix(whole ^ np.uint64(0xA24BAED4963EE407)).argmin())]  # the least hash of each text is this word's
+    docs = [(k, " ".join([common, *(f"w{k}x{j}" for j in range(20)), *(["zorba"] if k % 2 else [])]), "en", "s", 1) for k in range(80)]
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(80)], "doc_id bigint, quality int, toxic int")
+    model = toxicity.fit(spark.createDataFrame(docs, DOCS), labels, held=3)
+    assert toxicity._hash_words(("zorba",))[0] in model.lexicons.mined[0]
+
+
 def test_label_model_finds_accuracies_without_labels():
     rng = np.random.default_rng(0)
     y = rng.random(6000) < 0.2
