@@ -28,6 +28,14 @@ ACCOUNT_CUES = ("iban", "account", "acct", "konto", "cuenta", "compte", "ssn", "
 STREET_CUES = (" street", " avenue", " road", " lane", "straße", "strasse", "rue ", "calle ", "avenida ")
 #: Schemes whose address part may name a person (fixed values).
 SCHEMES = ("mailto:", "://", "tel:")
+#: Characters of an account number by country, where a following word can look like its last groups (fixed values).
+IBAN_LENGTHS = {
+    c: n
+    for n, codes in {
+        16: "BE", 20: "AT BA EE KZ LT LU XK", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 28: "AL AZ BY CY DO GT HU LB PL SV",
+    }.items()
+    for c in codes.split()
+}
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "account", "address", "url")
 
@@ -74,6 +82,17 @@ def iban(text: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _iban_end(text: str, start: int, end: int) -> int:
+    """End of the account number in a match, which may hold words that follow after a space: the length of its country before others, then the longest. 0 if no check digits hold."""
+    right = []
+    while end > start:
+        if iban(text[start:end]):
+            right.append(end)
+        end = text.rfind(" ", start, end)
+    length = IBAN_LENGTHS.get(text[start : start + 2].upper())
+    return next((e for e in right if len(text[start:e].replace(" ", "")) == length), right[0] if right else 0)
+
+
 def _digits(text: str) -> str:
     return "".join(c for c in text if c in _DIGITS)
 
@@ -116,9 +135,9 @@ def _accounts(text: str, cues: list[tuple[int, int]], digits: list[int]) -> Iter
     done = 0
     for p in digits:
         if p >= done and p >= 2 and text[p - 2].isascii() and text[p - 2 : p].isalpha() and not (p > 2 and text[p - 3].isalnum()) and (m := _IBAN.match(text, p - 2)):
-            if iban(m[0]):
-                yield m.span()
-                done = m.end()
+            if end := _iban_end(text, *m.span()):
+                yield m.start(), end
+                done = end
 
 
 def _addresses(text: str, cues: list[tuple[int, int]]) -> Iterator[Span]:

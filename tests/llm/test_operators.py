@@ -423,6 +423,15 @@ def test_base_spans_are_the_patterns(text):
     assert {k: got[k] for k in pii.BASE_KINDS} == base_truth(text)
 
 
+@pytest.mark.parametrize("number", ["ES9121000418450200051332", "AT611904300234573201", "AT61 1904 3002 3457 3201", "BE68539007547034", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"])
+def test_accounts_end_before_words(number):
+    for after in ("", " for the rent", " is my account", " with love", " banana", " a", ", paid"):
+        text = f"pay {number}{after}"
+        assert [text[a:b] for a, b in pii.find_spans(text)["account"]] == [number]
+        assert pii.redacted(text, pii.find_spans(text)) == f"pay <account>{after}"
+    assert pii.find_spans(f"pay {number[:-1]}{(int(number[-1]) + 1) % 10} for the rent")["account"] == []
+
+
 def test_pii(spark):
     got = pii.find_spans(PII)
     assert {k: got[k] for k in pii.BASE_KINDS} == base_truth(PII)
