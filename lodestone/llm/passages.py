@@ -13,8 +13,9 @@
    out first.
 4. Repeated windows are united per document and cut out of its text.
 
-A group is read in order with constant state, and large groups of different
-contexts are split by the pieces around the anchor that equal windows must share.
+Step 2 reads a group in order with constant state. In step 3 large groups are dealt
+out, before the shuffle, by the pieces around the anchor that equal windows must
+share; a task holds the contexts that share one such piece.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from .store import stored
 
 #: Length of an anchor's k-gram in bytes, for windows of 100.
 GRAM = 36
-#: Bytes of context that are suffix-sorted at once, and contexts above which a group is split.
+#: Bytes of context that are suffix-sorted at once, and contexts above which a group is dealt out by its pieces.
 AT_ONCE = 4 << 20
 SPLIT = 2048
 
@@ -144,21 +145,56 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (fp[-1], ctx[-1], row, given, place(n - 1), bool(repeat[-1]))
 
 
-def _pieces_wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of the wanted contexts of each text."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 200):
-            rows = batch.slice(at, 200)
-            fp, ids, lo, data = [], [], [], []
-            for k, (text, want) in enumerate(zip(rows.column(2).cast(pa.binary()).to_pylist(), rows.column(3).to_pylist(), strict=True)):
-                for x in want or ():
-                    fp.append(x["fp"])
-                    ids.append(k)
-                    lo.append(x["lo"])
-                    data.append(text[x["lo"] : x["lo"] + x["size"]])
-            take = pa.array(ids, pa.int64())
-            hs = rows.column(1).take(take)
-            yield pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), rows.column(0).take(take), hs, pa.array(lo, pa.int64()), pa.array(data, pa.binary())], ["fp", "id", "h", "lo", "data"])
+def _anchors(texts: list[bytes], fp: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Where the anchor, the k-gram whose hash is ``fp``, lies in each context."""
+    size = np.array([len(t) for t in texts], np.int64)
+    begin = np.cumsum(size) - size
+    flat = np.frombuffer(b"".join(texts), np.uint8)
+    s = tv.prefix(flat, tv.EXACT)
+    at = np.arange(len(flat) - gram + 1)
+    owner = np.repeat(np.arange(len(texts)), size)[: len(at)]
+    inside = at + gram <= (begin + size)[owner]
+    hit = np.flatnonzero(inside & (tv.range_hash(s, at, at + gram).view(np.int64) == fp[owner]))
+    offset = np.zeros(len(texts), np.int64)
+    offset[owner[hit][::-1]] = (hit - begin[owner[hit]])[::-1]
+    # The anchor lies in every window, so it is the last match that starts there.
+    anchored = hit[(hit - begin[owner[hit]] <= length - gram) & (hit - begin[owner[hit]] >= (size - length)[owner[hit]])]
+    offset[owner[anchored][::-1]] = (anchored - begin[owner[anchored]])[::-1]
+    return offset
+
+
+def _pieces_wanted(length: int, gram: int):
+    """Bytes of the wanted contexts of each text, by the part they are dealt to: the anchor, or in a large group each piece around it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                rows = batch.slice(at, 200)
+                fp, ids, lo, data, large = [], [], [], [], []
+                for k, (text, want) in enumerate(zip(rows.column(2).cast(pa.binary()).to_pylist(), rows.column(3).to_pylist(), strict=True)):
+                    for x in want or ():
+                        fp.append(x["fp"])
+                        ids.append(k)
+                        lo.append(x["lo"])
+                        data.append(text[x["lo"] : x["lo"] + x["size"]])
+                        large.append(x["large"])
+                fps, big = np.array(fp, np.int64), np.array(large, bool)
+                which, part = [np.flatnonzero(~big)], [fps[~big]]
+                if big.any():
+                    k = np.flatnonzero(big)
+                    some = [data[j] for j in k]
+                    for n, probe in enumerate(_probes(some, _anchors(some, fps[k], length, gram), length, gram)):
+                        ok = probe != 0
+                        which.append(k[ok])
+                        part.append(tv.mix(probe[ok] ^ tv.mix(fps[k[ok]].view(np.uint64) + tv.U64(n))).view(np.int64))
+                w = np.concatenate(which)
+                take = pa.array(np.array(ids, np.int64)[w])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(part)), rows.column(0).take(take), rows.column(1).take(take), pa.array(np.array(lo, np.int64)[w]), pa.array([data[j] for j in w], pa.binary()), pa.array(fps[w])],
+                    ["part", "id", "h", "lo", "data", "fp"],
+                )
+
+    return run
 
 
 def repeated_windows(group: np.ndarray, place: np.ndarray, texts: list[bytes], length: int) -> list[np.ndarray]:
@@ -227,57 +263,40 @@ def _solve(length: int, gram: int):
         place = np.empty(len(order), np.int64)
         key = np.stack([by_id.astype(np.int64), h.astype(np.int64), lo])[:, order]
         place[order] = np.cumsum(np.append(False, (key[:, 1:] != key[:, :-1]).any(axis=0)))
-        # The anchor is the k-gram whose hash is the group's.
         size = np.array([len(t) for t in texts], np.int64)
-        begin = np.cumsum(size) - size
-        flat = np.frombuffer(b"".join(texts), np.uint8)
-        s = tv.prefix(flat, tv.EXACT)
-        at = np.arange(len(flat) - gram + 1)
-        owner = np.repeat(np.arange(len(texts)), size)[: len(at)]
-        inside = at + gram <= (begin + size)[owner]
-        hit = np.flatnonzero(inside & (tv.range_hash(s, at, at + gram).view(np.int64) == fp[owner]))
-        offset = np.zeros(len(texts), np.int64)
-        offset[owner[hit][::-1]] = (hit - begin[owner[hit]])[::-1]
-        # The anchor lies in every window, so it is the last match that starts there.
-        anchored = hit[(hit - begin[owner[hit]] <= length - gram) & (hit - begin[owner[hit]] >= (size - length)[owner[hit]])]
-        offset[owner[anchored][::-1]] = (anchored - begin[owner[anchored]])[::-1]
-        count = np.unique(fp, return_inverse=True, return_counts=True)
-        big = count[2][count[1]] > SPLIT
-        alone = np.ones(len(texts), bool)
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        for k, probe in enumerate(_probes(texts, offset, length, gram)):
+        part = rows.column("part").to_numpy()
+        _, inv, n = np.unique(part, return_inverse=True, return_counts=True)
+        # Parts of a large group share a piece already.
+        dealt = part != fp
+        alone = np.where(dealt, n[inv] < 2, True)
+        few = np.flatnonzero(~dealt & (n[inv] > 1))
+        some = [texts[j] for j in few]
+        for k, probe in enumerate(_probes(some, _anchors(some, fp[few], length, gram), length, gram) if some else ()):
             ok = np.flatnonzero(probe != 0)
             if not len(ok):
                 continue
-            pair = tv.mix(probe[ok] ^ tv.mix(fp[ok].view(np.uint64) + tv.U64(k)))
-            u, inv, n = np.unique(pair, return_inverse=True, return_counts=True)
-            shared = ok[n[inv] > 1]
-            alone[shared] = False
-            split = shared[big[shared]]
-            parts.append((split, pair[n[inv] > 1][big[shared]]))
-        whole = np.flatnonzero(~alone & ~big)
-        parts.append((whole, fp[whole].view(np.uint64)))
+            pair = tv.mix(probe[ok] ^ tv.mix(fp[few[ok]].view(np.uint64) + tv.U64(k)))
+            _, at, times = np.unique(pair, return_inverse=True, return_counts=True)
+            alone[few[ok[times[at] > 1]]] = False
+        whole = np.flatnonzero(~alone)
         found: dict[int, list[np.ndarray]] = {}
-        for member, name_ in parts:
-            if not len(member):
-                continue
-            o = np.argsort(name_, kind="stable")
-            member, g = member[o], np.unique(name_[o], return_inverse=True)[1]
-            # Groups of like size are sorted together.
-            n = np.bincount(g, weights=size[member]).astype(np.int64)
-            rank = np.argsort(np.argsort(n, kind="stable"), kind="stable")
-            o = np.argsort(rank[g], kind="stable")
-            member, g = member[o], rank[g][o]
-            total = np.cumsum(size[member])
-            a = 0
-            while a < len(member):
-                b = int(np.searchsorted(total, total[a] - size[member[a]] + AT_ONCE, "right"))
-                b = max(b, a + 1)
-                b = int(np.searchsorted(g, g[b - 1], "right"))
-                for j, starts in zip(member[a:b], repeated_windows(g[a:b], place[member[a:b]], [texts[j] for j in member[a:b]], length), strict=True):
-                    if len(starts):
-                        found.setdefault(int(j), []).append(starts)
-                a = b
+        o = np.argsort(part[whole], kind="stable")
+        member, g = whole[o], np.unique(part[whole][o], return_inverse=True)[1]
+        # Groups of like size are sorted together.
+        n = np.bincount(g, weights=size[member]).astype(np.int64)
+        rank = np.argsort(np.argsort(n, kind="stable"), kind="stable")
+        o = np.argsort(rank[g], kind="stable")
+        member, g = member[o], rank[g][o]
+        total = np.cumsum(size[member])
+        a = 0
+        while a < len(member):
+            b = int(np.searchsorted(total, total[a] - size[member[a]] + AT_ONCE, "right"))
+            b = max(b, a + 1)
+            b = int(np.searchsorted(g, g[b - 1], "right"))
+            for j, starts in zip(member[a:b], repeated_windows(g[a:b], place[member[a:b]], [texts[j] for j in member[a:b]], length), strict=True):
+                if len(starts):
+                    found.setdefault(int(j), []).append(starts)
+            a = b
         who, start, end = [], [], []
         for j, lists in found.items():
             w = np.unique(np.concatenate(lists))
@@ -300,8 +319,8 @@ def _solve(length: int, gram: int):
                 if size < AT_ONCE:
                     continue
                 t = pa.Table.from_batches(hold)
-                fp = t.column("fp").to_numpy()
-                b = int(np.searchsorted(fp, fp[-1], "left"))
+                part = t.column("part").to_numpy()
+                b = int(np.searchsorted(part, part[-1], "left"))
                 if b:
                     yield flush(t.slice(0, b))
                     t = t.slice(b)
@@ -358,15 +377,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     met = found.repartition("fp").sortWithinPartitions("fp", "ctx", F.col("id").asc_nulls_last(), "h", "lo")
     marks = stored(met.mapInArrow(_meet, f"fp bigint, id {kind}, h int, lo int, size int, first boolean"))
     span = F.struct(F.col("lo").cast("bigint").alias("start"), (F.col("lo") + F.col("size")).cast("bigint").alias("end"))
-    per_text = marks.groupBy("id", "h").agg(
+    large = marks.where("first").groupBy("fp").count().where(F.col("count") > SPLIT).select("fp", F.lit(True).alias("large"))
+    per_text = marks.join(F.broadcast(large), "fp", "left").withColumn("large", F.coalesce("large", F.lit(False))).groupBy("id", "h").agg(
         F.collect_set(F.when(~F.col("first"), span)).alias("gone"),
-        F.collect_set(F.when(F.col("first"), F.struct("fp", "lo", "size"))).alias("want"),
+        F.collect_set(F.when(F.col("first"), F.struct("fp", "lo", "size", "large"))).alias("want"),
     ).select(F.col("id").alias("mid"), F.col("h").alias("mh"), "gone", "want")
     marked = F.col("mh").isNotNull()
     joined = src.join(per_text, F.col("id").eqNullSafe(F.col("mid")) & (F.col("h") == F.col("mh")), "left")
     rows = stored(joined.select("id", "h", F.octet_length("text").cast("bigint").alias("n_bytes"), F.when(~marked, F.sha2("text", 256)).alias("sha"), F.when(marked, F.col("text")).alias("text"), "gone", "want"))
-    wanted = rows.where(F.size("want") > 0).select("id", "h", "text", "want").mapInArrow(_pieces_wanted, f"fp bigint, id {kind}, h int, lo bigint, data binary")
-    solved = wanted.repartition("fp").sortWithinPartitions("fp").mapInArrow(_solve(length, gram), f"id {kind}, h int, start bigint, end bigint")
+    wanted = rows.where(F.size("want") > 0).select("id", "h", "text", "want").mapInArrow(_pieces_wanted(length, gram), f"part bigint, id {kind}, h int, lo bigint, data binary, fp bigint")
+    solved = wanted.repartition("part").sortWithinPartitions("part").mapInArrow(_solve(length, gram), f"id {kind}, h int, start bigint, end bigint")
     more = solved.groupBy("id", "h").agg(F.collect_set(F.struct("start", "end")).alias("more")).select(F.col("id").alias("mid"), F.col("h").alias("mh"), "more")
     touched = rows.where(F.col("sha").isNull()).join(more, F.col("id").eqNullSafe(F.col("mid")) & (F.col("h") == F.col("mh")), "left").select("id", "h", "text", "gone", "more")
     spans = "array<struct<start:bigint,end:bigint>>"

@@ -307,6 +307,34 @@ def test_passages(spark, monkeypatch, length, gram, split):
     assert bag(got) == bag(passages_truth(rows, length))
 
 
+def test_a_phrase_in_many_surroundings_is_dealt_out(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    letters = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+    raw = letters(100_000)
+    at = np.arange(len(raw) - 35)
+    k = int(textvec.range_hash(textvec.prefix(np.frombuffer(raw.encode(), np.uint8), textvec.EXACT), at, at + 36).argmin())
+    phrase = raw[k : k + 36]  # of so small a hash that it is the anchor of all windows around it
+    rows = [(j, letters(150) + phrase + letters(150), "en", "s", 0) for j in range(60)]
+    rows += [(100 + j, letters(90) + rows[j][1][100:230] + letters(90), "en", "s", 0) for j in range(5)]
+    solve = passages._solve
+
+    def spied(length, gram):
+        run = solve(length, gram)
+
+        def counted(batches):
+            batches = list(batches)
+            most = max((np.unique(b.column(0).to_numpy(), return_counts=True)[1].max() for b in batches if b.num_rows), default=0)
+            assert most <= 8, f"{most} contexts in one group"
+            return run(iter(batches))
+
+        return counted
+
+    monkeypatch.setattr(passages, "SPLIT", 8)
+    monkeypatch.setattr(passages, "_solve", spied)
+    got = passages.digest(passages.repeated_passages(frame(spark, rows))).collect()
+    assert bag(got) == bag(passages_truth(rows, 100)) and sum(r.n_removed > 0 for r in got) == 5
+
+
 def test_passages_of_nothing(spark):
     assert passages.repeated_passages(spark.createDataFrame([], DOCS)).count() == 0
 
