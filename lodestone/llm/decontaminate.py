@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .hashed import numbered
+
 #: Everything that is no word once A-Z are lower case: ASCII but digits and a-z.
 NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -29,7 +31,7 @@ def words(text: Column) -> Column:
 
 def benchmark_windows(bench: DataFrame, id_col: str = "item_id", text_col: str = "text", n: int = 8) -> DataFrame:
     """(item, k, win, anchor): distinct windows of n words; an item of fewer words, but not none, is one window of k words."""
-    w = bench.select(F.col(id_col).alias("item"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
+    w = bench.select(F.col(f"`{id_col}`").alias("item"), words(F.col(f"`{text_col}`")).alias("w")).where(F.size("w") > 0)
     k = F.least(F.size("w"), F.lit(n))
     at = w.select("item", "w", k.alias("k"), F.explode(F.sequence(F.lit(1), F.size("w") - k + 1)).alias("s"))
     part = F.slice("w", F.col("s"), F.col("k"))
@@ -64,7 +66,7 @@ def find_hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_co
     windows = benchmark_windows(bench, item_col, item_text, n).persist()
     size = windows.agg(F.count("*").alias("n"), F.count_distinct("anchor").alias("a"), F.collect_set("k").alias("k")).first()
     lengths = sorted(size.k) or [n]
-    base = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
+    base = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(f"`{id_col}`").alias("id"), words(F.col(f"`{text_col}`")).alias("w"))
     small = size.n <= max_windows
     if small and size.a <= max_anchors:
         anchors = [r.anchor for r in windows.select("anchor").distinct().collect()]
@@ -84,19 +86,21 @@ def find_hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_co
 
 
 def decontaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_items: int = 2, **options) -> DataFrame:
-    """``docs`` without the rows in which ``min_items`` items or more occur; all columns as they were.
+    """``docs`` without the rows in which ``min_items`` items or more occur; all columns as they were, whatever their names.
 
-    Rows are matched by id and text, so rows equal in both are judged alike.
+    Rows are matched by id and text, so rows equal in both are judged alike. Null
+    and empty texts stay; empty tables of documents or items remove nothing.
     """
-    key = F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("h"))
-    keyed = docs.select(key.alias("_key"), F.col(f"`{text_col}`").alias("_text"))
+    src = numbered(docs)
+    name, text = (F.col(f"c{docs.columns.index(c)}") for c in (id_col, text_col))
+    keyed = src.select(F.struct(name.alias("id"), F.xxhash64(text).alias("h")).alias("_key"), text.alias("_text"))
     bad = find_hits(keyed, bench, "_key", "_text", **options).where(F.size("items") >= min_items).select(F.col("id.id").alias("id"), F.col("id.h").alias("h")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad.id) & (F.xxhash64(docs[text_col]) == bad.h), "left_anti")
+    return src.join(bad, name.eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("h")), "left_anti").toDF(*docs.columns)
 
 
 def removed_spans(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(id, words, kept): each document's words and those outside every hit span."""
-    hits = find_hits(docs.select(F.struct(F.col(id_col).alias("id"), F.col(text_col).alias("t")).alias("_key"), F.col(text_col).alias("_text")), bench, "_key", "_text", **options)
+    hits = find_hits(docs.select(F.struct(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t")).alias("_key"), F.col(f"`{text_col}`").alias("_text")), bench, "_key", "_text", **options)
     w = words(F.col("id.t"))
     return hits.select(F.col("id.id").alias("id"), w.alias("words"), F.filter(w, lambda x, i: ~F.exists("spans", lambda s: (i + 1 >= s["s"]) & (i + 1 < s["e"]))).alias("kept"))
 

@@ -21,12 +21,15 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def word_units(offsets: np.ndarray, data: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(first, word hashes, and per length the hashes of the words' first bytes; shorter words repeat the word's hash)."""
+def word_units(offsets: np.ndarray, data: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, Iterator[np.ndarray]]:
+    """(first, word hashes, and one after another per length the hashes of the words' first bytes; shorter words repeat the word's hash)."""
     start, end, first = tv.runs(offsets, tv.WORD_BYTES[data])
-    s = tv.prefix(data)
-    whole = tv.range_hash(s, start, end)
-    return first, whole, [tv.range_hash(s, start, np.minimum(start + k, end)) ^ tv.U64(k) for k in lengths]
+    return first, tv.hash_ranges(data, start, end), (tv.hash_ranges(data, start, np.minimum(start + k, end)) ^ tv.U64(k) for k in lengths)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1 and so on, so that no name clashes or needs quotes."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
 
 
 def map_texts(df: DataFrame, text: str, schema: str, row: object) -> DataFrame:

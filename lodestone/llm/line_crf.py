@@ -28,6 +28,9 @@ _IS_UPPER = (np.arange(256) >= 65) & (np.arange(256) <= 90)
 _IS_LETTER = _IS_UPPER | ((np.arange(256) >= 97) & (np.arange(256) <= 122)) | (np.arange(256) >= 192)
 _IS_MARK = np.isin(np.arange(256), np.frombuffer(b"!?=_~^@+{}[]\\", np.uint8))
 _IS_STOP = np.isin(np.arange(256), np.frombuffer(b".,;:", np.uint8))
+_IS_BAR = np.arange(256) == 124
+#: The first byte of every visible code point.
+_IS_POINT = tv.VISIBLE_BYTES & ((np.arange(256) & 0xC0) != 0x80)
 _IS_DIGIT = (np.arange(256) >= 48) & (np.arange(256) <= 57)
 
 
@@ -50,18 +53,17 @@ def measure(offsets: np.ndarray, data: np.ndarray) -> dict[str, np.ndarray]:
     """Counts per text and features per line of one piece."""
     n = len(offsets) - 1
     ws, we, wfirst, h = tv.text_words(offsets, data, tv.VISIBLE_BYTES, tv.EXACT)
-    visible = tv.VISIBLE_BYTES[data]
-    total = lambda flags: np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
-    points = total(visible & ((data & 0xC0) != 0x80))
-    sym, up, mark, stop, dig, letter = (total(x[data]) for x in (_IS_SYMBOL, _IS_UPPER, _IS_MARK, _IS_STOP, _IS_DIGIT, _IS_LETTER))
-    bar = total(data == 124)
-    out = {"n_words": np.diff(wfirst), "word_chars": points[offsets[1:]] - points[offsets[:-1]], "n_symbols": sym[offsets[1:]] - sym[offsets[:-1]]}
-
     start, end, lfirst = lines_of(offsets, data)
     owner = np.repeat(np.arange(n), np.diff(lfirst))
-    s = tv.prefix(data, tv.EXACT)
-    key = tv.mix(tv.range_hash(s, start, end) + owner.astype(tv.U64) * tv.U64(0x9E3779B97F4A7C15))
-    lwords = np.searchsorted(ws, end) - np.searchsorted(ws, start)
+    # Counts are taken a table at a time, so a long text costs a flag for each byte, not a running sum.
+    count = lambda table: tv.sums(table[data], start, end)
+    points, sym, up, mark, stop, dig, letter, bar = (count(x) for x in (_IS_POINT, _IS_SYMBOL, _IS_UPPER, _IS_MARK, _IS_STOP, _IS_DIGIT, _IS_LETTER, _IS_BAR))
+    per_text = lambda x: np.add.reduceat(x, lfirst[:-1]) if n else np.zeros(0, np.int64)
+    out = {"n_words": np.diff(wfirst), "word_chars": per_text(points), "n_symbols": per_text(sym)}
+    key = tv.mix(tv.hash_ranges(data, start, end, tv.EXACT) + owner.astype(tv.U64) * tv.U64(0x9E3779B97F4A7C15))
+    wa, wb = np.searchsorted(ws, start), np.searchsorted(ws, end)
+    del ws, we
+    lwords = wb - wa
     _, at, inv = np.unique(key, return_index=True, return_inverse=True)
     first_seen = at[inv]
     has = lwords > 0
@@ -72,15 +74,18 @@ def measure(offsets: np.ndarray, data: np.ndarray) -> dict[str, np.ndarray]:
     m = len(h)
     covered = np.zeros(m + 3, bool)
     if m >= 3:
-        wowner = np.repeat(np.arange(n), np.diff(wfirst))
+        wowner = np.repeat(np.arange(n, dtype=np.int32), np.diff(wfirst))
         c = tv._COEF
-        key3 = tv.mix(h[:-2] * c[0] + h[1:-1] * c[1] + h[2:] * c[2] + wowner[:-2].astype(tv.U64) * tv.U64(0x9E3779B97F4A7C15))
-        inside = wowner[:-2] == wowner[2:]
-        i = np.flatnonzero(inside)
-        order = np.argsort(key3[i], kind="stable")
-        k = key3[i][order]
-        same = k[1:] == k[:-1]
-        twice = np.zeros(len(k), bool)
+        key3 = h[:-2] * c[0]
+        key3 += h[1:-1] * c[1]
+        key3 += h[2:] * c[2]
+        key3 += wowner[:-2].astype(tv.U64) * tv.U64(0x9E3779B97F4A7C15)
+        i = np.flatnonzero(wowner[:-2] == wowner[2:])
+        key3 = tv.mix(key3)[i]
+        order = np.argsort(key3, kind="stable")
+        key3 = key3[order]
+        same = key3[1:] == key3[:-1]
+        twice = np.zeros(len(key3), bool)
         twice[1:] |= same
         twice[:-1] |= same
         r = i[order[twice]]
@@ -89,26 +94,23 @@ def measure(offsets: np.ndarray, data: np.ndarray) -> dict[str, np.ndarray]:
     else:
         out["n_repeat_words"] = np.zeros(n, np.int64)
 
-    part = lambda t: t[end] - t[start]
-    chars = np.maximum(part(points), 1)
+    chars = np.maximum(points, 1)
     w = np.maximum(lwords, 1)
-    cover = total(covered[:m])
-    wa, wb = np.searchsorted(ws, start), np.searchsorted(ws, end)
     x = np.zeros((len(start), len(FEATURES)), np.float32)
     x[:, 0] = 1
-    x[:, 1] = np.minimum(part(sym) / w, 3)
-    x[:, 2] = part(up) / np.maximum(part(letter), 1)
-    x[:, 3] = np.minimum(part(mark) / w, 3)
-    x[:, 4] = np.minimum(part(bar) / w, 1)
-    x[:, 5] = part(dig) / chars
+    x[:, 1] = np.minimum(sym / w, 3)
+    x[:, 2] = up / np.maximum(letter, 1)
+    x[:, 3] = np.minimum(mark / w, 3)
+    x[:, 4] = np.minimum(bar / w, 1)
+    x[:, 5] = dig / chars
     x[:, 6] = np.minimum(chars / w, 30) / 10
     x[:, 7] = lwords < 4
     x[:, 8] = lwords > 12
     x[:, 9] = dup
     x[:, 10] = ~has
-    x[:, 11] = 1 - (cover[wb] - cover[wa]) / w
+    x[:, 11] = 1 - tv.sums(covered[:m], wa, wb) / w
     x[lfirst[:-1], 12] = 1
-    x[:, 13] = np.minimum(part(stop) / w, 2)
+    x[:, 13] = np.minimum(stop / w, 2)
     return out | {"x": x, "first": lfirst, "line_words": lwords}
 
 

@@ -1,16 +1,20 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Everything here is DataFrame functions. A document of a source whose target is
-r times its words takes floor(r) certain whole copies; the rest of r is its
-inclusion probability p for one more. Documents are ranked by random odds
-divided by inclusion odds, (u / (1 - u)) / (p / (1 - p)), and the first of them
-are selected until their words come nearest to the words still to be taken, so
-the sample's size is fixed in words. ``u`` is a hash of the document, so reruns
-agree.
+Everything here is DataFrame functions. A source whose target is r times its
+words gives floor(r) certain whole copies of every document. What is left, R
+words, is drawn: a document of s words has the inclusion probability p = c * s,
+where c is the number at which the expected words are R; documents whose p would
+reach 1 are certain too and c is found for the rest. Documents are ranked by
+random odds divided by inclusion odds, (u / (1 - u)) / (p / (1 - p)), and the
+first of them are selected until their words come nearest to what is left, so
+the size of the sample is fixed in words. ``u`` is a hash of the document, so
+reruns agree.
 
 No source is ordered in one task: ranks are cut into bins, words are summed by
 (source, bin), the bin that holds the boundary is found from those sums, and only
-inside it are distinct ranks summed and compared.
+inside it are distinct ranks summed and compared. Inclusion probabilities come
+from the words by (source, size), one row for each size that occurs. Sources
+themselves, one row each, are put in order in one task.
 """
 
 from __future__ import annotations
@@ -63,8 +67,27 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
 
 
 def pareto_rank(u: Column, p: Column) -> Column:
-    """Random odds over inclusion odds; null where the probability is 0 or 1."""
-    return F.when((p > 0) & (p < 1), (u / (1 - u)) / (p / (1 - p)))
+    """Random odds over inclusion odds, as an integer up to 2**U_BITS in the same order; null where the probability is 0 or 1."""
+    q = (u / (1 - u)) / (p / (1 - p))
+    return F.when((p > 0) & (p < 1), F.floor(q / (1 + q) * float(1 << U_BITS)).cast("bigint"))
+
+
+def inclusion(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, top, slope, rest): documents of more than ``top`` words are certain, others have p = slope * size; ``rest`` is the words left to draw.
+
+    rows: (source, size); targets: (source, remainder). From the greatest size
+    down, the first at which slope * size stays below 1 with all greater ones
+    certain. Where there is none every document is certain and the row is missing.
+    """
+    wide = F.col("size").cast("decimal(18,0)")
+    n = rows.where("size > 0").groupBy("source", "size").agg(F.sum("size").alias("words"), F.sum(wide * wide).alias("square"))
+    t = targets.select(F.col("source").alias("s"), "remainder")
+    n = n.join(t, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    above = Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    n = n.select("source", "size", (F.col("remainder") - F.coalesce(F.sum("words").over(above), F.lit(0))).alias("rest"), F.sum("square").over(upto).cast("double").alias("squares"))
+    n = n.withColumn("slope", F.col("rest") / F.col("squares")).where(F.col("slope") * F.col("size") < 1)
+    return n.groupBy("source").agg(F.max(F.struct("size", "slope", "rest")).alias("m")).select("source", F.col("m.size").alias("top"), "m.slope", "m.rest")
 
 
 def boundary(ranked: DataFrame, bins: int = 1 << BIN_BITS) -> DataFrame:
@@ -89,33 +112,36 @@ def boundary(ranked: DataFrame, bins: int = 1 << BIN_BITS) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken: how often each row of ``docs`` is taken.
+    """doc_id, source, size, source_size, target, p, copies, taken: how often each row of ``docs`` is taken; p is the inclusion probability of the copy that is drawn.
 
     A null text has size 0 and a document of size 0 takes 0 words; the null
     source is a source of its own, last in order. Rows equal in id and text have
     the same rank and are taken or left together. An empty table gives an empty
     result. Other columns are ignored.
     """
-    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(id_col).cast("string"), F.col(text_col))), 1, U_BITS // 4), 16, 10).cast("bigint")
-    rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key")))
+    name, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), name.cast("string"), text)), 1, U_BITS // 4), 16, 10).cast("bigint")
+    rows = cut(docs.select(name.alias("doc_id"), F.col(f"`{source_col}`").alias("source"), word_count(text).alias("size"), key.alias("key")))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = cut(source_targets(sizes, weights, share, most))
+    targets = source_targets(sizes, weights, share, most)
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
-    targets = targets.withColumn("certain", F.floor(ratio)).withColumn("p", ratio - F.floor(ratio)).withColumn("remainder", F.col("target") - F.col("certain") * F.col("source_size"))
+    targets = cut(targets.withColumn("certain", F.floor(ratio)).withColumn("remainder", F.col("target") - F.col("certain") * F.col("source_size")))
     small = targets.count() <= BROADCAST_SOURCES
     hint = (lambda df: F.broadcast(df)) if small else (lambda df: df)
-    t = targets.withColumnRenamed("source", "s")
+    drawn = inclusion(rows, targets).withColumnRenamed("source", "i")
+    t = cut(targets.join(drawn, F.col("source").eqNullSafe(F.col("i")), "left").drop("i", "remainder").withColumnRenamed("source", "s"))
     joined = rows.join(hint(t), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    # With one p for a source, the order by Pareto rank is the order by u; ranks stay integers by using u's own bits.
-    ranked = joined.where(pareto_rank((F.col("key") + 0.5) / float(1 << U_BITS), F.col("p")).isNotNull() & (F.col("size") > 0)).select("source", "key", "size", "remainder")
-    cuts = boundary(ranked).withColumnRenamed("source", "s")
-    out = joined.join(hint(cuts), F.col("source").eqNullSafe(F.col("s")), "left")
-    copies = F.col("certain") + F.coalesce((F.col("key") <= F.col("cutoff")).cast("bigint"), F.lit(0))
-    out = out.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).cast("bigint"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    p = F.when(F.col("size") > F.coalesce("top", F.lit(0)), 1.0).otherwise(F.col("slope") * F.col("size"))
+    ranked = joined.withColumn("p", F.when(F.col("size") > 0, p).otherwise(0.0)).withColumn("rank", pareto_rank((F.col("key") + 0.5) / float(1 << U_BITS), F.col("p")))
+    cuts = boundary(ranked.where("rank is not null").select("source", F.col("rank").alias("key"), "size", F.col("rest").alias("remainder"))).withColumnRenamed("source", "s")
+    out = ranked.join(hint(cuts), F.col("source").eqNullSafe(F.col("s")), "left")
+    more = (F.col("p") >= 1) | F.coalesce(F.col("rank") <= F.col("cutoff"), F.lit(False))
+    copies = F.when(F.col("size") > 0, F.col("certain") + more.cast("bigint")).otherwise(F.lit(0)).cast("bigint")
+    out = out.withColumn("copies", copies)
+    return out.select("doc_id", "source", "size", "source_size", "target", "p", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-#: The same mix in DuckDB: capped targets by one running sum, then the nearest cut of the rank order of each source.
+#: The same mix in DuckDB: capped targets by one running sum, inclusion odds by size, then the nearest cut of the rank order of each source.
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
@@ -128,13 +154,21 @@ l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER
                 sum(w) OVER (ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
 t AS (SELECT source, source_size, CASE WHEN w * level > cap THEN cap ELSE w * (SELECT arg_min(level, n) FROM l WHERE NOT w * level > cap) END AS target FROM l),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 2.0) ELSE 0 END AS ratio FROM t),
-j AS (SELECT d.*, source_size, target, floor(ratio) AS certain, ratio - floor(ratio) AS p, target - floor(ratio) * source_size AS remainder
+j AS (SELECT d.*, source_size, target, floor(ratio) AS certain, target - floor(ratio) * source_size AS remainder
       FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
-k AS (SELECT source, key, sum(size) AS words, max(remainder) AS remainder FROM j WHERE p > 0 AND p < 1 AND size > 0 GROUP BY ALL),
-u AS (SELECT source, key, words, remainder, sum(words) OVER (PARTITION BY source ORDER BY key) AS upto FROM k),
-c AS (SELECT source, arg_min(key, (off, key)) AS cutoff FROM (
-        SELECT source, key, abs(upto - remainder) AS off FROM u UNION ALL SELECT source, -1, remainder FROM u) GROUP BY source)
-SELECT doc_id, size, j.source_size, j.target,
-       CAST(CASE WHEN size > 0 THEN size * (certain + CASE WHEN key <= cutoff THEN 1 ELSE 0 END) ELSE 0 END AS BIGINT) AS taken
-FROM j LEFT JOIN c ON j.source IS NOT DISTINCT FROM c.source
+z AS (SELECT source, size, max(remainder) AS remainder, sum(size) AS words, sum(CAST(size AS HUGEINT) * size) AS square FROM j WHERE size > 0 GROUP BY source, size),
+y AS (SELECT source, size, remainder - coalesce(sum(words) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+             CAST(sum(square) OVER (PARTITION BY source ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS squares FROM z),
+i AS (SELECT source, max(size) AS top, arg_max(rest / squares, size) AS slope, arg_max(rest, size) AS rest FROM y WHERE rest / squares * size < 1 GROUP BY source),
+pr AS (SELECT j.*, rest, CASE WHEN size = 0 THEN 0 WHEN size > coalesce(top, 0) THEN 1 ELSE slope * size END AS p, (key + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
+      FROM j LEFT JOIN i ON j.source IS NOT DISTINCT FROM i.source),
+q AS (SELECT *, CASE WHEN p > 0 AND p < 1 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds FROM pr),
+k AS (SELECT *, CAST(floor(odds / (1 + odds) * 281474976710656.0::DOUBLE) AS BIGINT) AS rank FROM q),
+g AS (SELECT source, rank, sum(size) AS words, max(rest) AS rest FROM k WHERE rank IS NOT NULL GROUP BY source, rank),
+up AS (SELECT source, rank, rest, sum(words) OVER (PARTITION BY source ORDER BY rank) AS upto FROM g),
+c AS (SELECT source, arg_min(rank, (off, rank)) AS cutoff FROM (
+        SELECT source, rank, abs(upto - rest) AS off FROM up UNION ALL SELECT source, -1, rest FROM up) GROUP BY source)
+SELECT doc_id, size, k.source_size, k.target,
+       CAST(CASE WHEN size > 0 THEN size * (certain + CASE WHEN p >= 1 OR rank <= cutoff THEN 1 ELSE 0 END) ELSE 0 END AS BIGINT) AS taken
+FROM k LEFT JOIN c ON k.source IS NOT DISTINCT FROM c.source
 """

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .components import components
+from .hashed import numbered
 from .store import cut
 
 
@@ -37,7 +38,7 @@ def gram_sets(batches: Iterator[pa.RecordBatch], text: str, n: int) -> Iterator[
     for rows, offsets, data in tv.pieces(batches, text):
         _, _, first, h = tv.text_words(offsets, data)
         sh, off = tv.shingles(h, first, n)
-        raw = tv.range_hash(tv.prefix(data, tv.EXACT), offsets[:-1], offsets[1:]) ^ tv.U64(0x5851F42D4C957F2D)
+        raw = tv.hash_ranges(data, offsets[:-1], offsets[1:], tv.EXACT) ^ tv.U64(0x5851F42D4C957F2D)
         yield rows, [np.unique(sh[off[i] : off[i + 1]]) if off[i + 1] > off[i] else raw[i : i + 1] for i in range(len(off) - 1)]
 
 
@@ -93,7 +94,7 @@ def _overlaps(grams: list[np.ndarray]) -> np.ndarray:
     who, col, total = who[keep], often[col[keep]], int((n > 1).sum())
     order = np.argsort(col, kind="stable")
     who, col = who[order], col[order]
-    out = np.zeros((m, m), np.float64)
+    out = np.zeros((m, m), np.float32)
     width = max(256, (1 << 22) // m)
     for c in range(0, total, width):
         a, b = np.searchsorted(col, [c, c + width])
@@ -107,7 +108,10 @@ def verify(grams: list[np.ndarray], side: np.ndarray, cross: bool, threshold: fl
     """Links of each node and the least index of its linked class within one group."""
     size = np.array([len(g) for g in grams], float)
     both = _overlaps(grams)
-    link = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
+    link = np.empty(both.shape, bool)
+    for a in range(0, len(grams), 256):
+        part = both[a : a + 256].astype(float)
+        link[a : a + 256] = part >= threshold * (size[a : a + 256, None] + size[None, :] - part) - 1e-9
     np.fill_diagonal(link, False)
     if cross:
         link &= side[:, None] != side[None, :]
@@ -131,7 +135,7 @@ def _verifier(threshold: float):
     return run
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.999, block: int = 512, block_grams: int = 4_000_000, carry: tuple[str, ...] = ()) -> DataFrame:
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.999, block: int = 1024, block_grams: int = 4_000_000, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, class_id, n_links, n_copies, class_node, and the columns of ``carry``.
 
     class_id is the least id among the documents of the class (null if all its
@@ -178,16 +182,19 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of every class kept: the least id (null last), then the least row hash.
 
-    Of rows equal in every column one stays. All columns are returned as they were.
+    Of rows equal in every column one stays. A null text counts as an empty one,
+    so of all null and empty texts one stays. All columns are returned as they
+    were, whatever their names; an empty table gives an empty result.
     """
-    row_key = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
-    rows = jaccard_classes(docs.withColumn("_row_key", row_key), id_col, text_col, carry=("_row_key",), **options)
-    best = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), F.col("_row_key").alias("k"))
-    kept = rows.groupBy("class_node").agg(F.min(best).alias("b")).select("b.id", "b.k", "class_node")
-    repeats = rows.groupBy(F.col(id_col).alias("id"), F.col("_row_key").alias("k")).agg(F.count("*").alias("_repeats"))
-    kept = kept.join(repeats, kept.id.eqNullSafe(repeats.id) & (kept.k == repeats.k)).select(kept.id.alias("_id"), kept.k.alias("_k"), "_repeats")
-    keyed = docs.withColumn("_row_key", row_key)
-    picked = keyed.join(kept, keyed[id_col].eqNullSafe(kept._id) & (keyed._row_key == kept._k))
-    once = picked.where("_repeats = 1").select(*(picked[c] for c in docs.columns))
-    again = picked.where("_repeats > 1").dropDuplicates(["_id", "_k"]).select(*(picked[c] for c in docs.columns))
-    return once.union(again)
+    src = numbered(docs)
+    name, text = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    keyed = src.withColumn("row_key", F.xxhash64(*src.columns))
+    rows = jaccard_classes(keyed, name, text, carry=("row_key",), **options)
+    best = F.struct(F.col(name).isNull().alias("n"), F.col(name).alias("id"), F.col("row_key").alias("k"))
+    kept = rows.groupBy("class_node").agg(F.min(best).alias("b")).select(F.col("b.id").alias("id"), F.col("b.k").alias("k"))
+    repeats = rows.groupBy(F.col(name).alias("rid"), F.col("row_key").alias("rk")).agg(F.count("*").alias("repeats"))
+    kept = kept.join(repeats, F.col("id").eqNullSafe(F.col("rid")) & (F.col("k") == F.col("rk"))).select("id", "k", "repeats")
+    picked = keyed.join(kept, F.col(name).eqNullSafe(F.col("id")) & (F.col("row_key") == F.col("k")))
+    once = picked.where("repeats = 1").select(*src.columns)
+    again = picked.where("repeats > 1").dropDuplicates(["id", "k"]).select(*src.columns)
+    return once.union(again).toDF(*docs.columns)

@@ -3,19 +3,24 @@
 1. Every window of ``length`` bytes has an anchor, the leftmost least k-gram in
    it, so equal windows have equal anchors wherever they occur. Consecutive
    windows with the same anchor form one *context*, and a text becomes a list of
-   contexts; nothing else of it is shuffled.
+   contexts; nothing else of it is shuffled. Of a context that occurs several
+   times in what a task reads at once only the earliest is compared further; the
+   others are repeats already, so a common passage sends a row for each portion
+   read, not one for each document.
 2. Contexts meet on their anchor's hash, in order of hash, content and place. A
    context that occurred before is a repeat as a whole; anchors of one text only
    are dropped. What remains are contexts that share an anchor but differ.
 3. Those are suffix-sorted, group by group, with linear grouping (``lyndon``):
    equal windows are neighbours in the suffix array, and all but the earliest are
    repeats. Contexts that share no long enough piece around the anchor are left
-   out first.
+   out first. A group of more than ``SPLIT`` contexts is not held by one task: its
+   windows are dealt out one by one and meet as in steps 1 and 2.
 4. Repeated windows are united per document and cut out of its text.
 
-Step 2 reads a group in order with constant state. In step 3 large groups are dealt
-out, before the shuffle, by the pieces around the anchor that equal windows must
-share; a task holds the contexts that share one such piece.
+Every step reads groups in order with constant state or holds ``SPLIT`` contexts
+of a group at most. The suffix order thus decides windows whose surroundings
+differ; whole contexts, as in exact copies, and windows of large groups are
+decided by 64-bit hashes of their bytes.
 """
 
 from __future__ import annotations
@@ -25,18 +30,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .lyndon import suffix_arrays
-from .store import stored
+from .store import cut, stored
 
 #: Length of an anchor's k-gram in bytes, for windows of 100.
 GRAM = 36
-#: Bytes of context that are suffix-sorted at once, and contexts above which a group is dealt out by its pieces.
+#: Bytes of context that are suffix-sorted at once, and contexts above which a group is dealt out by its windows.
 AT_ONCE = 4 << 20
 SPLIT = 2048
+#: Contexts among which a task looks for repeats before it sends them on.
+TOGETHER = 400_000
+#: Bytes of one text that are read at once.
+PORTION = 1 << 19
+#: Anchors of large groups that are broadcast; above this they are joined by a shuffle.
+BROADCAST_ANCHORS = 200_000
 
 
 def contexts(offsets: np.ndarray, data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -74,22 +86,78 @@ def contexts(offsets: np.ndarray, data: np.ndarray, length: int, gram: int) -> t
     return text[lo], h[p], content, lo - offsets[text[lo]], hi - lo + length
 
 
+class _Together:
+    """Contexts of several portions of texts, sent on together."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.ids: list[pa.Array] = []
+        self.h: list[np.ndarray] = []
+        self.texts = self.size = 0
+
+    def add(self, text: np.ndarray, fp: np.ndarray, ctx: np.ndarray, lo: np.ndarray, size: np.ndarray, ids: pa.Array, h: pa.Array) -> None:
+        self.parts.append((text + self.texts, fp, ctx, lo, size))
+        self.ids.append(ids)
+        self.h.append(h.to_numpy())
+        self.texts += len(ids)
+        self.size += len(fp)
+
+    def send(self) -> pa.RecordBatch:
+        """(fp, ctx, id, h, lo, size): the earliest of equal contexts; for the others ctx is null and fp is any number, for they meet nobody."""
+        text, fp, ctx, lo, size = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        ids, h = pa.concat_arrays(self.ids), np.concatenate(self.h)
+        self.__init__()
+        order = np.argsort(ctx, kind="stable")
+        same = ctx[order][1:] == ctx[order][:-1]
+        several = np.zeros(len(ctx), bool)
+        several[1:] = same
+        several[:-1] |= same
+        keep, again = np.ones(len(ctx), bool), np.zeros(len(ctx), bool)
+        k = order[several]
+        if len(k):
+            by_id = pc.rank(ids, sort_keys="ascending", null_placement="at_end", tiebreaker="min").to_numpy().astype(np.int64)
+            o = k[np.lexsort((lo[k], h[text[k]], by_id[text[k]], ctx[k]))]
+            head = np.append(True, ctx[o][1:] != ctx[o][:-1])
+            first = o[np.flatnonzero(head)][np.cumsum(head) - 1]
+            # The same place again, from a row that repeats, is no repeat of itself.
+            twin = ~head & (by_id[text[o]] == by_id[text[first]]) & (h[text[o]] == h[text[first]]) & (lo[o] == lo[first])
+            keep[o[twin]] = False
+            again[o[~head & ~twin]] = True
+            fp = np.where(again, tv.mix(fp + np.arange(len(fp), dtype=tv.U64) * tv.U64(0x9E3779B97F4A7C15)), fp)
+        take = pa.array(text[keep])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(fp[keep].view(np.int64)), pa.array(ctx[keep].view(np.int64), mask=again[keep]), ids.take(take), pa.array(h[text[keep]]), pa.array(lo[keep]), pa.array(size[keep])],
+            ["fp", "ctx", "id", "h", "lo", "size"],
+        )
+
+
 def _finder(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold = _Together()
         for rows, offsets, data in tv.pieces(batches, "text", 1 << 18):
-            t, fp, ctx, lo, size = contexts(offsets, data, length, gram)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(fp.view(np.int64)), pa.array(ctx.view(np.int64)), rows.column(0).take(pa.array(t)), rows.column(1).take(pa.array(t)), pa.array(lo), pa.array(size)],
-                ["fp", "ctx", "id", "h", "lo", "size"],
-            )
+            # A long text is read in portions that overlap by a window; a context that is cut there meets its like by its anchor.
+            step = max(PORTION, length)
+            for a in range(0, len(data), step) if rows.num_rows == 1 else (0,):
+                part = data[a : a + step + length - 1] if rows.num_rows == 1 else data
+                text, fp, ctx, lo, size = contexts(np.array([0, len(part)]) if rows.num_rows == 1 else offsets, part, length, gram)
+                hold.add(text, fp, ctx, lo + a, size, rows.column(0), rows.column(1))
+                if hold.size >= TOGETHER:
+                    yield hold.send()
+        if hold.size:
+            yield hold.send()
 
     return run
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (fp, ctx, place): repeats of a context (first = false), and the first of each context of an anchor that has several (first = true)."""
+    """Rows sorted by (fp, ctx, place): repeats of a context (first = false), and the first of each context of an anchor that has several (first = true). Rows without ctx are repeats as they come."""
     last = None  # (fp, ctx, row of the first occurrence, whether it was given out)
     for batch in batches:
+        if batch.column(1).null_count:
+            again = batch.column(1).is_null()
+            part = batch.filter(again)
+            yield pa.RecordBatch.from_arrays([part.column(0), *(part.column(k) for k in (2, 3, 4, 5)), pa.array(np.zeros(part.num_rows, bool))], ["fp", "id", "h", "lo", "size", "first"])
+            batch = batch.filter(pc.invert(again))
         n = batch.num_rows
         if not n:
             continue
@@ -163,36 +231,50 @@ def _anchors(texts: list[bytes], fp: np.ndarray, length: int, gram: int) -> np.n
     return offset
 
 
-def _pieces_wanted(length: int, gram: int):
-    """Bytes of the wanted contexts of each text, by the part they are dealt to: the anchor, or in a large group each piece around it."""
+def _listed(column: pa.Array, large: bool) -> tuple[np.ndarray, ...]:
+    """(row, fp, lo, size) of a column of lists of wanted contexts, of large groups or of the others."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+    row = np.repeat(np.arange(len(column)), sizes)
+    x = column.flatten()
+    ok = x.field("large").to_numpy(zero_copy_only=False).astype(bool) == large
+    return row[ok], *(x.field(k).to_numpy()[ok].astype(np.int64) for k in ("fp", "lo", "size"))
+
+
+def _contexts_wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bytes of the wanted contexts of each text, but for those of large groups."""
+    for rows, offsets, data in tv.pieces(batches, "text"):
+        every = _listed(rows.column(3), False)
+        for at in range(0, len(every[0]), 20_000):
+            row, fp, lo, size = (x[at : at + 20_000] for x in every)
+            begin = offsets[row] + lo
+            out = [data[a:b].tobytes() for a, b in zip(begin.tolist(), (begin + size).tolist(), strict=True)]
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(fp), rows.column(0).take(take), rows.column(1).take(take), pa.array(lo), pa.array(out, pa.binary())], ["fp", "id", "h", "lo", "data"])
+
+
+def _windows_wanted(length: int):
+    """Windows of the wanted contexts of large groups, each as an anchor and a context of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                rows = batch.slice(at, 200)
-                fp, ids, lo, data, large = [], [], [], [], []
-                for k, (text, want) in enumerate(zip(rows.column(2).cast(pa.binary()).to_pylist(), rows.column(3).to_pylist(), strict=True)):
-                    for x in want or ():
-                        fp.append(x["fp"])
-                        ids.append(k)
-                        lo.append(x["lo"])
-                        data.append(text[x["lo"] : x["lo"] + x["size"]])
-                        large.append(x["large"])
-                fps, big = np.array(fp, np.int64), np.array(large, bool)
-                which, part = [np.flatnonzero(~big)], [fps[~big]]
-                if big.any():
-                    k = np.flatnonzero(big)
-                    some = [data[j] for j in k]
-                    for n, probe in enumerate(_probes(some, _anchors(some, fps[k], length, gram), length, gram)):
-                        ok = probe != 0
-                        which.append(k[ok])
-                        part.append(tv.mix(probe[ok] ^ tv.mix(fps[k[ok]].view(np.uint64) + tv.U64(n))).view(np.int64))
-                w = np.concatenate(which)
-                take = pa.array(np.array(ids, np.int64)[w])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(part)), rows.column(0).take(take), rows.column(1).take(take), pa.array(np.array(lo, np.int64)[w]), pa.array([data[j] for j in w], pa.binary()), pa.array(fps[w])],
-                    ["part", "id", "h", "lo", "data", "fp"],
-                )
+        hold = _Together()
+        for rows, offsets, data in tv.pieces(batches, "text", 1 << 18):
+            every = _listed(rows.column(3), True)
+            for k in range(0, len(every[0]), 2_000):
+                row, _, lo, size = (x[k : k + 2_000] for x in every)
+                n = size - length + 1
+                owner = np.repeat(np.arange(len(n)), n)
+                step = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+                # The contexts one after another, so that a text is hashed where it is wanted only.
+                flat = np.cumsum(size) - size
+                begin = offsets[row] + lo
+                bytes_ = data[np.repeat(begin - flat, size) + np.arange(int(size.sum()))]
+                at = flat[owner] + step
+                h = tv.mix(tv.range_hash(tv.prefix(bytes_, tv.EXACT), at, at + length))
+                hold.add(row[owner], h, h, lo[owner] + step, np.full(len(at), length), rows.column(0), rows.column(1))
+                if hold.size >= TOGETHER:
+                    yield hold.send()
+        if hold.size:
+            yield hold.send()
 
     return run
 
@@ -258,106 +340,102 @@ def _solve(length: int, gram: int):
         h = rows.column("h").to_numpy()
         ids = rows.column("id")
         name = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
-        by_id = pa.compute.rank(name, sort_keys="ascending", null_placement="at_end", tiebreaker="min").to_numpy()
+        by_id = pc.rank(name, sort_keys="ascending", null_placement="at_end", tiebreaker="min").to_numpy()
         order = np.lexsort((lo, h, by_id))
         place = np.empty(len(order), np.int64)
         key = np.stack([by_id.astype(np.int64), h.astype(np.int64), lo])[:, order]
         place[order] = np.cumsum(np.append(False, (key[:, 1:] != key[:, :-1]).any(axis=0)))
         size = np.array([len(t) for t in texts], np.int64)
-        part = rows.column("part").to_numpy()
-        _, inv, n = np.unique(part, return_inverse=True, return_counts=True)
-        # Parts of a large group share a piece already.
-        dealt = part != fp
-        alone = np.where(dealt, n[inv] < 2, True)
-        few = np.flatnonzero(~dealt & (n[inv] > 1))
-        some = [texts[j] for j in few]
-        for k, probe in enumerate(_probes(some, _anchors(some, fp[few], length, gram), length, gram) if some else ()):
+        # A context that shares no piece around the anchor shares no window.
+        alone = np.ones(len(texts), bool)
+        for k, probe in enumerate(_probes(texts, _anchors(texts, fp, length, gram), length, gram)):
             ok = np.flatnonzero(probe != 0)
             if not len(ok):
                 continue
-            pair = tv.mix(probe[ok] ^ tv.mix(fp[few[ok]].view(np.uint64) + tv.U64(k)))
+            pair = tv.mix(probe[ok] ^ tv.mix(fp[ok].view(np.uint64) + tv.U64(k)))
             _, at, times = np.unique(pair, return_inverse=True, return_counts=True)
-            alone[few[ok[times[at] > 1]]] = False
+            alone[ok[times[at] > 1]] = False
         whole = np.flatnonzero(~alone)
-        found: dict[int, list[np.ndarray]] = {}
-        o = np.argsort(part[whole], kind="stable")
-        member, g = whole[o], np.unique(part[whole][o], return_inverse=True)[1]
+        o = np.argsort(fp[whole], kind="stable")
+        member, g = whole[o], np.unique(fp[whole][o], return_inverse=True)[1]
         # Groups of like size are sorted together.
         n = np.bincount(g, weights=size[member]).astype(np.int64)
         rank = np.argsort(np.argsort(n, kind="stable"), kind="stable")
         o = np.argsort(rank[g], kind="stable")
         member, g = member[o], rank[g][o]
         total = np.cumsum(size[member])
+        who, start, end = [], [], []
         a = 0
         while a < len(member):
             b = int(np.searchsorted(total, total[a] - size[member[a]] + AT_ONCE, "right"))
             b = max(b, a + 1)
             b = int(np.searchsorted(g, g[b - 1], "right"))
-            for j, starts in zip(member[a:b], repeated_windows(g[a:b], place[member[a:b]], [texts[j] for j in member[a:b]], length), strict=True):
-                if len(starts):
-                    found.setdefault(int(j), []).append(starts)
+            for j, w in zip(member[a:b], repeated_windows(g[a:b], place[member[a:b]], [texts[j] for j in member[a:b]], length), strict=True):
+                if len(w):
+                    brk = np.flatnonzero(np.diff(w) > 1)
+                    begin, last = w[np.append(0, brk + 1)], w[np.append(brk, len(w) - 1)] + length
+                    who += [j] * len(begin)
+                    start += (begin + lo[j]).tolist()
+                    end += (last + lo[j]).tolist()
             a = b
-        who, start, end = [], [], []
-        for j, lists in found.items():
-            w = np.unique(np.concatenate(lists))
-            brk = np.flatnonzero(np.diff(w) > 1)
-            a, b = w[np.append(0, brk + 1)], w[np.append(brk, len(w) - 1)] + length
-            who += [j] * len(a)
-            start += (a + lo[j]).tolist()
-            end += (b + lo[j]).tolist()
         take = pa.array(who, pa.int64())
         return pa.RecordBatch.from_arrays([name.take(take), pa.array(h).take(take), pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["id", "h", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole groups of about ``AT_ONCE`` bytes at a time; a group has ``SPLIT`` contexts at most."""
         hold: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 rows = batch.slice(at, 2000)
                 hold.append(rows)
-                size += sum(map(len, rows.column(4).to_pylist()))
+                size += pc.sum(pc.binary_length(rows.column(4))).as_py()
                 if size < AT_ONCE:
                     continue
                 t = pa.Table.from_batches(hold)
-                part = t.column("part").to_numpy()
-                b = int(np.searchsorted(part, part[-1], "left"))
+                fp = t.column("fp").to_numpy()
+                b = int(np.searchsorted(fp, fp[-1], "left"))
                 if b:
                     yield flush(t.slice(0, b))
                     t = t.slice(b)
-                hold, size = t.combine_chunks().to_batches(), int(sum(map(len, t.column("data").to_pylist())))
+                hold = t.combine_chunks().to_batches()
+                size = sum(pc.sum(pc.binary_length(x.column(4))).as_py() for x in hold)
         if hold:
             yield flush(pa.Table.from_batches(hold))
 
     return run
 
 
-def _united(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                rows = batch.slice(at, 200)
-                out: list[list] = [[], [], [], []]
-                for text, *spans in zip(rows.column(2).cast(pa.binary()).to_pylist(), *(rows.column(k).to_pylist() for k in range(3, rows.num_columns)), strict=True):
-                    text = text or b""
-                    merged: list[list[int]] = []
-                    for a, b in sorted((x["start"], x["end"]) for group in spans for x in group or ()):
-                        if merged and a <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], b)
-                        else:
-                            merged.append([a, b])
-                    kept, last = [], 0
-                    for a, b in merged:
-                        kept.append(text[last:a])
-                        last = b
-                    kept.append(text[last:])
-                    out[0].append(len(text))
-                    out[1].append(sum(b - a for a, b in merged))
-                    out[2].append([{"start": a, "end": b} for a, b in merged])
-                    out[3].append(hashlib.sha256(b"".join(kept)).hexdigest())
-                kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string())
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *(pa.array(v, t) for v, t in zip(out, kinds, strict=True))], ["id", "h", "n_bytes", "n_removed", "spans", "kept_sha256"])
-
-    return run
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of each text, united, and what is left without them."""
+    for rows, offsets, data in tv.pieces(batches, "text"):
+        parts = []
+        for column in rows.columns[3:]:
+            row = np.repeat(np.arange(rows.num_rows), pc.fill_null(pc.list_value_length(column), 0).to_numpy())
+            x = column.flatten()
+            parts.append((row, x.field("start").to_numpy(), x.field("end").to_numpy()))
+        row, start, end = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((start, row))
+        row, start, end = row[order], offsets[row[order]] + start[order], offsets[row[order]] + end[order]
+        # Texts follow each other, so one running maximum serves all: a span begins where none before it reaches.
+        reach = np.maximum.accumulate(end) if len(end) else end
+        new = np.ones(len(start), bool)
+        new[1:] = (start[1:] > reach[:-1]) | (row[1:] != row[:-1])
+        k = np.flatnonzero(new)
+        row, start, end = row[k], start[k], reach[np.append(k[1:], len(new)) - 1] if len(k) else end
+        cuts = np.searchsorted(row, np.arange(rows.num_rows + 1))
+        kept = []
+        for j in range(rows.num_rows):
+            left, last = hashlib.sha256(), int(offsets[j])
+            for a, b in zip(start[cuts[j] : cuts[j + 1]].tolist(), end[cuts[j] : cuts[j + 1]].tolist(), strict=True):
+                left.update(data[last:a])
+                last = b
+            left.update(data[last : offsets[j + 1]])
+            kept.append(left.hexdigest())
+        removed = np.bincount(row, weights=end - start, minlength=rows.num_rows).astype(np.int64)
+        spans = pa.StructArray.from_arrays([pa.array(start - offsets[row]), pa.array(end - offsets[row])], ["start", "end"])
+        lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), spans)
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.diff(offsets)), pa.array(removed), lists, pa.array(kept, pa.string())], ["id", "h", "n_bytes", "n_removed", "spans", "kept_sha256"])
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = GRAM) -> DataFrame:
@@ -373,24 +451,33 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.hash(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("h"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     found = src.where(F.octet_length("text") >= length).mapInArrow(_finder(length, gram), f"fp bigint, ctx bigint, id {kind}, h int, lo bigint, size bigint")
-    found = found.select("fp", "ctx", "id", "h", F.col("lo").cast("int").alias("lo"), F.col("size").cast("int").alias("size"))
-    met = found.repartition("fp").sortWithinPartitions("fp", "ctx", F.col("id").asc_nulls_last(), "h", "lo")
-    marks = stored(met.mapInArrow(_meet, f"fp bigint, id {kind}, h int, lo int, size int, first boolean"))
+
+    def meet(found: DataFrame) -> DataFrame:
+        found = found.select("fp", "ctx", "id", "h", F.col("lo").cast("int").alias("lo"), F.col("size").cast("int").alias("size"))
+        return found.repartition("fp").sortWithinPartitions("fp", "ctx", F.col("id").asc_nulls_last(), "h", "lo").mapInArrow(_meet, f"fp bigint, id {kind}, h int, lo int, size int, first boolean")
+
+    marks = stored(meet(found))
     span = F.struct(F.col("lo").cast("bigint").alias("start"), (F.col("lo") + F.col("size")).cast("bigint").alias("end"))
-    large = marks.where("first").groupBy("fp").count().where(F.col("count") > SPLIT).select("fp", F.lit(True).alias("large"))
-    per_text = marks.join(F.broadcast(large), "fp", "left").withColumn("large", F.coalesce("large", F.lit(False))).groupBy("id", "h").agg(
+    large = cut(marks.where("first").groupBy("fp").count().where(F.col("count") > SPLIT).select("fp", F.lit(True).alias("large")))
+    n_large = large.count()
+    sized = marks.join(F.broadcast(large) if n_large <= BROADCAST_ANCHORS else large, "fp", "left") if n_large else marks.withColumn("large", F.lit(False))
+    per_text = sized.withColumn("large", F.coalesce("large", F.lit(False))).groupBy("id", "h").agg(
         F.collect_set(F.when(~F.col("first"), span)).alias("gone"),
         F.collect_set(F.when(F.col("first"), F.struct("fp", "lo", "size", "large"))).alias("want"),
     ).select(F.col("id").alias("mid"), F.col("h").alias("mh"), "gone", "want")
     marked = F.col("mh").isNotNull()
     joined = src.join(per_text, F.col("id").eqNullSafe(F.col("mid")) & (F.col("h") == F.col("mh")), "left")
     rows = stored(joined.select("id", "h", F.octet_length("text").cast("bigint").alias("n_bytes"), F.when(~marked, F.sha2("text", 256)).alias("sha"), F.when(marked, F.col("text")).alias("text"), "gone", "want"))
-    wanted = rows.where(F.size("want") > 0).select("id", "h", "text", "want").mapInArrow(_pieces_wanted(length, gram), f"part bigint, id {kind}, h int, lo bigint, data binary, fp bigint")
-    solved = wanted.repartition("part").sortWithinPartitions("part").mapInArrow(_solve(length, gram), f"id {kind}, h int, start bigint, end bigint")
+    want = rows.where(F.size("want") > 0).select("id", "h", "text", "want")
+    bounds = f"id {kind}, h int, start bigint, end bigint"
+    solved = want.mapInArrow(_contexts_wanted, f"fp bigint, id {kind}, h int, lo bigint, data binary").repartition("fp").sortWithinPartitions("fp").mapInArrow(_solve(length, gram), bounds)
+    if n_large:
+        dealt = meet(want.where(F.exists("want", lambda x: x["large"])).mapInArrow(_windows_wanted(length), f"fp bigint, ctx bigint, id {kind}, h int, lo bigint, size bigint"))
+        solved = solved.union(dealt.where("not first").select("id", "h", F.col("lo").cast("bigint"), (F.col("lo") + F.col("size")).cast("bigint")))
     more = solved.groupBy("id", "h").agg(F.collect_set(F.struct("start", "end")).alias("more")).select(F.col("id").alias("mid"), F.col("h").alias("mh"), "more")
     touched = rows.where(F.col("sha").isNull()).join(more, F.col("id").eqNullSafe(F.col("mid")) & (F.col("h") == F.col("mh")), "left").select("id", "h", "text", "gone", "more")
     spans = "array<struct<start:bigint,end:bigint>>"
-    done = touched.mapInArrow(_united(length), f"id {kind}, h int, n_bytes bigint, n_removed bigint, spans {spans}, kept_sha256 string")
+    done = touched.mapInArrow(_united, f"id {kind}, h int, n_bytes bigint, n_removed bigint, spans {spans}, kept_sha256 string")
     clean = rows.where(F.col("sha").isNotNull()).select("id", "h", "n_bytes", F.lit(0).cast("bigint").alias("n_removed"), F.expr(f"cast(array() as {spans})").alias("spans"), F.col("sha").alias("kept_sha256"))
     every = done.union(clean)
     again = (F.row_number().over(Window.partitionBy("id", "h").orderBy("n_bytes")) > 1) & (F.col("n_bytes") >= length)

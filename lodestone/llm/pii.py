@@ -13,13 +13,18 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textvec as tv
+from .hashed import numbered
+
 Span = tuple[int, int]
 
 #: Words that announce an account number (fixed values).
@@ -41,14 +46,14 @@ KINDS = (*BASE_KINDS, "account", "address", "url")
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_IP_CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _IP_RUN = re.compile(r"[0-9.]+")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _CARD_RUN = re.compile(r"[0-9\x20-]+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:\x20?[A-Za-z0-9]{4}){2,7}(?:\x20?[A-Za-z0-9]{1,3})?(?![A-Za-z0-9])")
 _NUMBER = re.compile(r"[^\w\n]{0,3}(?:(?:no|nr|number|num)\.?[^\w\n]{0,2})?([0-9](?:[\x20-]?[0-9]){5,17})(?!\w)", re.I)
-_HOUSE_BEFORE = re.compile(r"(?<!\w)([0-9]{1,5}[A-Za-z]?\x20(?:[^\W\d_]+\x20){0,3}[^\W\d_]+)$")
+_HOUSE = re.compile(r"(?<!\w)[0-9]{1,5}[A-Za-z]?$")
 _HOUSE_AFTER = re.compile(r"(?:[^\W\d_]+\x20){0,4}[0-9]{1,5}[A-Za-z]?(?!\w)")
 _HOUSE_NEXT = re.compile(r"\x20[0-9]{1,5}[A-Za-z]?(?!\w)")
 _NOT_IN_URL = re.compile(r"[\s<>\"']")
@@ -128,6 +133,19 @@ def _emails(text: str, at: list[int]) -> list[Span]:
     return out
 
 
+def _ips(text: str, a: int, b: int) -> Iterator[Span]:
+    """Four groups of digits at a time from every chain of groups joined by single dots, which is where the pattern matches."""
+    for chain in _IP_CHAIN.finditer(text, a, b):
+        at = chain.start()
+        groups = chain[0].split(".")
+        for k in range(0, len(groups) - 3, 4):
+            four = groups[k : k + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(len(g.lstrip("0")) <= 3 and int(g.lstrip("0") or 0) <= 255 for g in four):
+                yield at, end
+            at = end + 1
+
+
 def _accounts(text: str, cues: list[tuple[int, int]], digits: list[int]) -> Iterator[Span]:
     for _, end in cues:
         if m := _NUMBER.match(text, end):
@@ -140,13 +158,33 @@ def _accounts(text: str, cues: list[tuple[int, int]], digits: list[int]) -> Iter
                 done = end
 
 
+def _letter(c: str) -> bool:
+    return c.isalnum() and not c.isdecimal()
+
+
+def _house_before(text: str, end: int) -> int | None:
+    """Where a house number and one to four words, all followed by one space but the last, begin that end at ``end``."""
+    at = end
+    for _ in range(4):
+        word = at
+        while at > 0 and _letter(text[at - 1]):
+            at -= 1
+        if at == word or at == 0 or text[at - 1] != " ":
+            return None
+        at -= 1
+        # Six characters of a number, and the one before it.
+        if m := _HOUSE.search(text[max(0, at - 7) : at]):
+            return at - len(m[0])
+    return None
+
+
 def _addresses(text: str, cues: list[tuple[int, int]]) -> Iterator[Span]:
     for a, end in cues:
         if end < len(text) and text[a:end][-1] != " " and text[end].isalpha():
             continue
         if text[a] == " ":
-            if m := _HOUSE_BEFORE.search(text[max(0, a - 80) : a]):
-                yield a - len(m[1]), end
+            if (start := _house_before(text, a)) is not None:
+                yield start, end
         elif text[end - 1] == " ":
             if (a == 0 or not text[a - 1].isalnum()) and (m := _HOUSE_AFTER.match(text, end)):
                 yield a, m.end()
@@ -156,39 +194,61 @@ def _addresses(text: str, cues: list[tuple[int, int]]) -> Iterator[Span]:
             yield a, m.end()
 
 
-def _urls(text: str, cues: list[tuple[int, int]]) -> Iterator[Span]:
-    """Addresses after a scheme that name a user: mail and telephone links, and hosts behind a login."""
+def _urls(text: str, cues: list[tuple[int, int]], ats: list[int], digits: list[int], digit_ends: list[int]) -> Iterator[Span]:
+    """Addresses after a scheme that name a user: mail and telephone links, and hosts behind a login. Every run of characters of an address is read once, whatever the number of schemes in it."""
+    run_end = trimmed = -1
+    counted = [0, *accumulate(b - a for a, b in zip(digits, digit_ends, strict=True))]
+
+    def digits_before(at: int) -> int:
+        k = bisect_left(digits, at)
+        return counted[k] - (max(digit_ends[k - 1] - at, 0) if k else 0)
+
     for a, end in cues:
-        m = _NOT_IN_URL.search(text, end)
-        stop = m.start() if m else len(text)
-        while stop > end and text[stop - 1] in ".,;:!?)]":
-            stop -= 1
-        body = text[end:stop]
-        if text[a:end] == "://":
+        if end > run_end:
+            m = _NOT_IN_URL.search(text, end)
+            run_end = trimmed = m.start() if m else len(text)
+            while trimmed > end and text[trimmed - 1] in ".,;:!?)]":
+                trimmed -= 1
+        stop = max(trimmed, end)
+        kind = text[a:end]
+        if kind == "://":
             while a > 0 and text[a - 1].isascii() and text[a - 1].isalpha():
                 a -= 1
-            if "@" not in body.split("/", 1)[0] or a == end - 3:
+            slash = text.find("/", end, stop)
+            k = bisect_left(ats, end)
+            if a == end - 3 or k == len(ats) or ats[k] >= (slash if slash >= 0 else stop):
                 continue
-        elif not body or text[a:end] == "tel:" and len(_digits(body)) < 7:
+        elif stop == end or kind == "tel:" and digits_before(stop) - digits_before(end) < 7:
             continue
         yield a, stop
 
 
 def find_spans(text: str) -> dict[str, list[Span]]:
-    """Spans in code points by kind; base kinds exactly as their patterns find them."""
+    """Spans in code points by kind; base kinds exactly as their patterns find them. Time and memory grow in proportion to the text."""
     anchors: dict[str, list] = {"at": [], "plus": [], "digit": [], "account": [], "street": [], "scheme": []}
+    digit_ends: list[int] = []
     found = {k: [] for k in KINDS}
     low = text.lower()
     if len(low) != len(text):
         low = "".join(c if len(x := c.lower()) != 1 else x for c in text)
+    last_digit = -2
     for last, (kind, n) in automaton().iter(low):
-        anchors[kind].append((last - n + 1, last + 1) if n > 1 or kind in ("account", "street", "scheme") else last)
+        if kind == "digit":
+            # A run of digits is one anchor.
+            if last == last_digit + 1:
+                digit_ends[-1] = last + 1
+            else:
+                anchors["digit"].append(last)
+                digit_ends.append(last + 1)
+            last_digit = last
+        else:
+            anchors[kind].append((last - n + 1, last + 1) if n > 1 else last)
     if anchors["at"]:
         found["email"] = _emails(text, anchors["at"])
     if digits := anchors["digit"]:
         for a, b in _runs(text, digits, _IP_RUN, _IP_CHARS):
             if b - a >= 7:
-                found["ip"] += [m.span() for m in _IP.finditer(text, a, b) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
+                found["ip"] += _ips(text, a, b)
         for a, b in _runs(text, digits, _CARD_RUN, _CARD_CHARS):
             if b - a >= 13:
                 found["card"] += [m.span() for m in _CARD.finditer(text, a, b) if 13 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
@@ -199,7 +259,7 @@ def find_spans(text: str) -> dict[str, list[Span]]:
     if anchors["street"]:
         found["address"] = sorted(set(_addresses(text, anchors["street"])))
     if anchors["scheme"]:
-        found["url"] = sorted(set(_urls(text, anchors["scheme"])))
+        found["url"] = sorted(set(_urls(text, anchors["scheme"], anchors["at"], digits, digit_ends)))
     return found
 
 
@@ -223,17 +283,15 @@ def redacted(text: str, found: dict[str, list[Span]]) -> str:
 
 
 def _finder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            rows = batch.slice(at, 500)
-            counts, base, every = [[], [], [], []], [], []
-            for text in rows.column(1).to_pylist():
-                found = find_spans(text or "")
-                for k, kind in enumerate(BASE_KINDS):
-                    counts[k].append(len(found[kind]))
-                base.append(hashlib.sha256(joined(found, BASE_KINDS).encode()).hexdigest())
-                every.append(joined(found, KINDS))
-            yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()), pa.array(every, pa.string())], ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"])
+    for rows, _, _ in tv.pieces(batches, "text"):
+        counts, base, every = [[], [], [], []], [], []
+        for text in rows.column(1):
+            found = find_spans(text.as_py() or "")
+            for k, kind in enumerate(BASE_KINDS):
+                counts[k].append(len(found[kind]))
+            base.append(hashlib.sha256(joined(found, BASE_KINDS).encode()).hexdigest())
+            every.append(joined(found, KINDS))
+        yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()), pa.array(every, pa.string())], ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"])
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,15 +305,22 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
-    """``docs`` with every span replaced by its kind; nulls stay null, and ``length_col`` follows the new text."""
+    """``docs`` with every span replaced by its kind; nulls stay null, and ``length_col`` follows the new text.
+
+    Columns keep their names, types and order, whatever the names; rows that
+    repeat stay; an empty table gives an empty result.
+    """
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                rows = batch.slice(at, 500)
-                k = rows.schema.get_field_index(text_col)
-                new = [None if t is None else redacted(t, find_spans(t)) for t in rows.column(k).to_pylist()]
-                yield rows.set_column(k, rows.schema.field(k), pa.array(new, rows.schema.field(k).type))
-
-    out = docs.mapInArrow(run, docs.schema)
-    return out.withColumn(length_col, F.when(F.col(text_col).isNull(), F.col(length_col)).otherwise(F.length(text_col)).cast(docs.schema[length_col].dataType)) if length_col else out
+        for rows, _, _ in tv.pieces(batches, f"c{at}"):
+            new = [None if (t := x.as_py()) is None else redacted(t, find_spans(t)) for x in rows.column(at)]
+            yield rows.set_column(at, rows.schema.field(at), pa.array(new, rows.schema.field(at).type))
+
+    src = numbered(docs)
+    out = src.mapInArrow(run, src.schema)
+    if length_col:
+        k = docs.columns.index(length_col)
+        text, length = F.col(f"c{at}"), F.col(f"c{k}")
+        out = out.withColumn(f"c{k}", F.when(text.isNull(), length).otherwise(F.length(text)).cast(src.schema[k].dataType))
+    return out.toDF(*docs.columns)

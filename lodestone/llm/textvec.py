@@ -30,22 +30,17 @@ WORD_BYTES = ((_bytes >= 48) & (_bytes <= 57)) | ((_bytes >= 65) & (_bytes <= 90
 #: Everything but space, tab, line feed, vertical tab, form feed and carriage return.
 VISIBLE_BYTES = ~((_bytes == 32) | ((_bytes >= 9) & (_bytes <= 13)))
 
-_powers = np.ones(1, U64), np.ones(1, U64)
+#: Bytes that are hashed at once, and so the length of the tables of powers.
+AT_ONCE = 1 << 20
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        out = []
-        for base in (_P, _PINV):
-            a = np.full(size, base, U64)
-            a[0] = 1
-            out.append(np.multiply.accumulate(a))
-        if size > 1 << 22:
-            return out[0], out[1]
-        _powers = out[0], out[1]
-    return _powers
+def _accumulated(base: int, n: int) -> np.ndarray:
+    a = np.full(n, base, U64)
+    a[0] = 1
+    return np.multiply.accumulate(a)
+
+
+_POWERS, _INVERSE = _accumulated(_P, AT_ONCE), _accumulated(_PINV, AT_ONCE)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -100,13 +95,52 @@ def runs(offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def prefix(data: np.ndarray, values: np.ndarray = FOLDED) -> np.ndarray:
     s = np.zeros(len(data) + 1, U64)
-    np.cumsum(values[data] * powers(len(data) + 1)[0][: len(data)], out=s[1:])
+    scale = U64(1)
+    with np.errstate(over="ignore"):
+        for a in range(0, len(data), AT_ONCE):
+            part = values[data[a : a + AT_ONCE]]
+            part *= _POWERS[: len(part)]
+            if a:
+                part *= scale
+            np.cumsum(part, out=s[a + 1 : a + 1 + len(part)])
+            if a:
+                s[a + 1 : a + 1 + len(part)] += s[a]
+            scale = U64(int(scale) * int(_POWERS[-1]) * _P & 0xFFFFFFFFFFFFFFFF)
     return s
 
 
 def range_hash(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    inv = powers(len(s))[1]
-    return mix((s[end] - s[start]) * inv[start] + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+    h = s[end] - s[start]
+    if len(s) <= AT_ONCE:
+        h *= _INVERSE[start]
+    else:
+        h *= _INVERSE[start & (AT_ONCE - 1)]
+        h *= _accumulated(pow(_PINV, AT_ONCE, 1 << 64), len(s) // AT_ONCE + 1)[start // AT_ONCE]
+    h += (end - start).astype(U64) * U64(0xD6E8FEB86659FD93)
+    return mix(h)
+
+
+def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray = FOLDED) -> np.ndarray:
+    """Hashes of ascending ranges that do not overlap; prefix sums are made for about ``AT_ONCE`` bytes at a time."""
+    if len(data) <= 2 * AT_ONCE:
+        return range_hash(prefix(data, values), start, end)
+    out = np.empty(len(start), U64)
+    a = 0
+    while a < len(start):
+        b = max(a + 1, int(np.searchsorted(end, start[a] + AT_ONCE, "right")))
+        out[a:b] = range_hash(prefix(data[start[a] : end[b - 1]], values), start[a:b] - start[a], end[a:b] - start[a])
+        a = b
+    return out
+
+
+def sums(flags: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How many of ``flags`` are set in each of ascending ranges that do not overlap."""
+    if not len(start):
+        return np.zeros(0, np.int64)
+    at = np.empty(2 * len(start), np.int64)
+    at[::2], at[1::2] = start, end
+    got = np.add.reduceat(np.append(flags, False), at, dtype=np.int64)[::2]
+    return np.where(end > start, got, 0)
 
 
 _COEF = np.random.default_rng(7).integers(1, 1 << 63, 64, dtype=np.uint64) | U64(1)
@@ -134,4 +168,4 @@ def shingles(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 def text_words(offsets: np.ndarray, data: np.ndarray, inside: np.ndarray = WORD_BYTES, values: np.ndarray = FOLDED):
     """(starts, ends, first, hashes) of the words of a piece."""
     start, end, first = runs(offsets, inside[data])
-    return start, end, first, range_hash(prefix(data, values), start, end)
+    return start, end, first, hash_ranges(data, start, end, values)

@@ -9,25 +9,36 @@ accuracies given it, and correlations as a maximum-weight tree of voters whose
 votes depend on each other given the label. The model's posteriors are then the
 labels from which a linear classifier over hashed words and word beginnings
 learns. Scores come from that classifier.
+
+Lexicons and classifier are fitted on one bounded sample of labelled rows. Its
+texts stay on the executors: units are counted and chosen there, and the driver
+gets the chosen units, one number for each of the 2**BITS slots, and of each text
+a sketch and the chosen slots it holds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .hashed import bounded_sample, map_texts, remainder, sigmoid, word_units
+from .store import cut, stored
 
 #: Insults in plain words (fixed values).
 LEXICON = ("idiot", "idiots", "moron", "morons", "stupid", "scum", "trash", "garbage", "loser", "losers", "pathetic", "worthless", "disgusting", "clown", "filthy", "vermin", "imbecile", "dumbass")
-#: Bounds of what fits use: labelled rows to mine lexicons, texts to train the classifier.
+#: Labelled rows that a fit uses at most, half of them toxic if there are as many.
 MAX_LABELLED = 6_000
-MAX_TRAINING = 5_000
+#: Hashes of a text by which near copies are found; a text of fewer different words is compared whole.
+SKETCH = 2_048
+#: Slots that the classifier keeps.
+KEEP = 4_096
 #: Bytes of word beginnings; mined beginnings of each length are one voter.
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
 BITS = 20
@@ -67,8 +78,8 @@ class Lexicons:
         marks = np.concatenate([[0], np.cumsum(data == 33, dtype=np.int64)])
         part = lambda t: t[offsets[1:]] - t[offsets[:-1]]
         size = np.maximum(np.diff(offsets), 1)
-        out[:, k + 1] = np.where((part(upper) > 0.5 * size) & (any_ > 0), 1, -1)
-        out[:, k + 2] = np.where((part(marks) > 0.02 * size) & (any_ > 0), 1, -1)
+        out[:, k + 1] = np.where(part(upper) > 0.5 * size, 1, -1)
+        out[:, k + 2] = np.where(part(marks) > 0.02 * size, 1, -1)
         out[:, k + 3] = np.where(count < 5, 0, -1)
         out[:, k + 4] = np.where(any_ == 0, 0, -1)
         return out
@@ -80,18 +91,11 @@ def _member(h: np.ndarray, lex: np.ndarray) -> np.ndarray:
     return lex[np.minimum(np.searchsorted(lex, h), len(lex) - 1)] == h
 
 
-def mine(units: np.ndarray, owner: np.ndarray, toxic: np.ndarray, least: int = 3, ratio: float = 40.0) -> np.ndarray:
-    """Hashes that occur in ``least`` toxic texts or more and at ``ratio`` times the rate of the clean texts. units and owner: pairs of unit and text."""
-    if not len(units):
-        return np.zeros(0, tv.U64)
-    once = np.unique(tv.mix(units + tv.mix(owner.astype(tv.U64) + tv.U64(1))), return_index=True)[1]
-    units, owner = units[once], owner[once]
-    names, at = np.unique(units, return_inverse=True)
-    pos = np.bincount(at[toxic[owner]], minlength=len(names))
-    neg = np.bincount(at[~toxic[owner]], minlength=len(names))
-    p, q = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
-    rate = (pos / p) / ((neg + 0.5) / q)
-    return names[(pos >= max(least, 0.004 * p)) & (rate >= ratio)]
+def mined_units(counts: DataFrame, toxic: int, clean: int, least: int = 3, ratio: float = 40.0) -> DataFrame:
+    """(kind, unit) of units (kind, unit, pos, neg) that occur in ``least`` toxic texts or more and at ``ratio`` times the rate of the clean texts."""
+    p, q = max(toxic, 1), max(clean, 1)
+    rate = (F.col("pos") / p) / ((F.col("neg") + 0.5) / q)
+    return counts.where((F.col("pos") >= max(least, 0.004 * p)) & (rate >= ratio)).select("kind", "unit")
 
 
 def near_copies(sets: list[np.ndarray], least: float = 0.8) -> np.ndarray:
@@ -223,7 +227,7 @@ class ToxicModel:
         n = len(offsets) - 1
         first, whole, begins = word_units(offsets, data, BEGINNINGS)
         total = np.zeros(len(whole))
-        for h in (whole, *begins):
+        for h in chain([whole], begins):
             total += self.weights[(h >> tv.U64(64 - BITS)).astype(np.int64)]
         count = np.diff(first)
         owner = np.repeat(np.arange(n), count)
@@ -234,42 +238,36 @@ def _scale(count: np.ndarray) -> np.ndarray:
     return np.sqrt(count + 4.0)
 
 
-def _slots(first: np.ndarray, whole: np.ndarray, begins: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _slots(first: np.ndarray, whole: np.ndarray, begins: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(text, slot) of every unit of every word."""
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    h = np.concatenate([whole, *begins])
-    return np.tile(owner, 1 + len(begins)), (h >> tv.U64(64 - BITS)).astype(np.int64)
+    slots = [(h >> tv.U64(64 - BITS)).astype(np.int32) for h in chain([whole], begins)]
+    return np.tile(owner, len(slots)), np.concatenate(slots)
 
 
-def fit_linear(slots: list[tuple[np.ndarray, np.ndarray]], count: np.ndarray, y: np.ndarray, keep: int = 4096, steps: int = 300, rate: float = 0.3, decay: float = 1e-4, threshold: float = 0.7) -> tuple[np.ndarray, float]:
-    """Logistic regression on posterior labels over the ``keep`` slots that tell them apart best. slots: per text (slot, occurrences)."""
-    weights = np.zeros(1 << BITS, np.float32)
-    if not len(slots):
-        return weights, -3.0
-    owner = np.repeat(np.arange(len(slots), dtype=np.int32), [len(s) for s, _ in slots])
-    slot, times = np.concatenate([s for s, _ in slots]), np.concatenate([t for _, t in slots])
-    pos = np.bincount(slot, weights=y[owner], minlength=1 << BITS)
-    neg = np.bincount(slot, weights=1 - y[owner], minlength=1 << BITS)
-    p, q = y.sum() + 1e-9, (1 - y).sum() + 1e-9
-    odds = np.log(((pos + 0.2) / p) / ((neg + 0.2) / q))
-    gain = np.where((pos + neg >= 2), np.abs(odds) * np.maximum(pos / p, neg / q), 0)
+def choose_slots(slot: np.ndarray, pos: np.ndarray, neg: np.ndarray, p: float, q: float, keep: int = KEEP) -> np.ndarray:
+    """Ascending slots that tell the classes apart best. pos, neg: occurrences weighted by the posteriors; p, q: texts of each class."""
+    odds = np.log(((pos + 0.2) / (p + 1e-9)) / ((neg + 0.2) / (q + 1e-9)))
+    gain = np.abs(odds) * np.maximum(pos / (p + 1e-9), neg / (q + 1e-9))
     # Only units of toxic texts carry weight: what clean texts share says nothing about a text.
-    gain = np.where((odds > 1.5) & (pos >= max(2.5, 0.002 * p)), gain, 0)
-    chosen = np.sort(np.argsort(-gain, kind="stable")[:keep])
-    chosen = chosen[gain[chosen] > 0]
-    if not len(chosen):
-        return weights, -3.0
-    at = np.searchsorted(chosen, slot)
-    ok = chosen[np.minimum(at, len(chosen) - 1)] == slot
-    owner, at, val = owner[ok], at[ok], times[ok] / _scale(count)[owner[ok]]
-    w, b = np.zeros(len(chosen)), -3.0
+    gain = np.where((odds > 1.5) & (pos + neg >= 2) & (pos >= max(2.5, 0.002 * p)), gain, 0)
+    chosen = np.lexsort((slot, -gain))[:keep]
+    return np.sort(slot[chosen[gain[chosen] > 0]])
+
+
+def fit_linear(owner: np.ndarray, at: np.ndarray, times: np.ndarray, count: np.ndarray, y: np.ndarray, width: int, steps: int = 300, rate: float = 0.3, decay: float = 1e-4, threshold: float = 0.7) -> tuple[np.ndarray, float]:
+    """Logistic regression on posterior labels: weights of ``width`` features and a bias. owner, at, times: text, feature and occurrences."""
+    w, b = np.zeros(width), -3.0
+    if not width or not len(y):
+        return w, b
+    val = times / _scale(count)[owner]
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     # Both classes weigh the same.
     each = np.where(y > 0.5, 0.5 / max((y > 0.5).sum(), 1), 0.5 / max((y <= 0.5).sum(), 1))
     for step in range(1, steps + 1):
-        z = np.bincount(owner, weights=w[at] * val, minlength=len(slots)) + b
+        z = np.bincount(owner, weights=w[at] * val, minlength=len(y)) + b
         e = (sigmoid(z) - y) * each
-        g = np.bincount(at, weights=e[owner] * val, minlength=len(w)) + decay * w
+        g = np.bincount(at, weights=e[owner] * val, minlength=width) + decay * w
         gb = e.sum()
         m += 0.1 * (g - m)
         v += 0.01 * (g * g - v)
@@ -279,85 +277,139 @@ def fit_linear(slots: list[tuple[np.ndarray, np.ndarray]], count: np.ndarray, y:
         w -= rate * (m / c1) / (np.sqrt(v / c2) + 1e-8)
         np.maximum(w, 0, out=w)
         b -= rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
-    weights[chosen] = w
     # The threshold lies in the gap between the classes, nearer to the clean one, whose scores vary less on new texts.
-    z = np.bincount(owner, weights=w[at] * val, minlength=len(slots)) + b
+    z = np.bincount(owner, weights=w[at] * val, minlength=len(y)) + b
     if (y > 0.5).any() and (y <= 0.5).any():
         low, high = np.quantile(z[y <= 0.5], 0.998), np.quantile(z[y > 0.5], 0.05)
         if high > low:
             b += np.log(threshold / (1 - threshold)) - (low + 0.4 * (high - low))
-    return weights, float(b)
+    return w, float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", folds: int = 3, held: int = 1, threshold: float = 0.7, limit: int = MAX_LABELLED, training: int = MAX_TRAINING) -> ToxicModel:
-    """Mine lexicons from labelled rows outside the held-out fold, count votes over all of ``docs``, fit the label model, then the classifier.
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: str, folds: int, held: int, limit: int) -> DataFrame:
+    """(n, y, text) of at most ``limit`` labelled documents outside the held-out fold, numbered, as a table.
 
-    Held-out rows give votes but no label; the classifier learns from posteriors
-    of rows outside the fold. Null labels are left out, of repeated label rows
-    the greatest counts. Without any label only the fixed list is a lexicon.
+    Toxic rows are rare: half of the sample is theirs if there are as many. Null
+    labels are left out, of repeated label rows the greatest counts, of documents
+    that repeat an id the one of the least text hash.
     """
-    one = labels.where(F.col(label).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("y"))
+    one = labels.where(F.col(f"`{label}`").isNotNull()).groupBy(F.col(f"`{id_col}`").alias("_id")).agg(F.max(f"`{label}`").cast("int").alias("y"))
     one = one.where(remainder(F.col("_id"), folds) != held)
-    # Toxic rows are rare: half of the sample is theirs if there are as many.
-    rare = bounded_sample(one.where("y = 1"), limit // 2, F.col("_id"))
-    one = rare.union(bounded_sample(one.where("y <> 1"), limit // 2, F.col("_id")))
+    one = bounded_sample(one.where("y = 1"), limit // 2, F.col("_id")).union(bounded_sample(one.where("y <> 1"), limit // 2, F.col("_id")))
     src = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("text"))
+    src = src.join(F.broadcast(one), "_id").groupBy("_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x"))
+    return stored(src.select(F.row_number().over(Window.orderBy("_id")).alias("n"), "y", F.col("x.text").alias("text")))
 
-    def units(rows: pa.RecordBatch, offsets: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
-        first, whole, begins = word_units(offsets, data, BEGINNINGS)
-        lists = [[np.unique(h[a:b]).tobytes() for h in (whole, *begins)] for a, b in zip(first[:-1], first[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([rows.column(0), pa.array(lists, pa.list_(pa.binary()))], ["y", "units"])
-
-    got = map_texts(src.join(F.broadcast(one), "_id").select("y", "text"), "text", "y int, units array<binary>", units).toArrow()
-    toxic = got.column("y").to_numpy() == 1
-    lists = got.column("units").to_pylist()
-    # Near copies count once: those of one label are one text to the miner.
-    group = np.zeros(len(lists), int)
+
+def _representatives(sample: DataFrame) -> DataFrame:
+    """(n, toxic) of one text of each class of near copies of a label."""
+
+    def sketch(rows: pa.RecordBatch, offsets: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
+        first, whole, _ = word_units(offsets, data, ())
+        least = [np.unique(whole[a:b])[:SKETCH].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(least, pa.binary())], ["n", "y", "least"])
+
+    got = map_texts(sample, "text", "n int, y int, least binary", sketch).toArrow().sort_by("n")
+    n, toxic = got.column("n").to_numpy(), got.column("y").to_numpy() == 1
+    least = [np.frombuffer(x, tv.U64) for x in got.column("least").to_pylist()]
+    out = []
     for y in (True, False):
         k = np.flatnonzero(toxic == y)
-        group[k] = 2 * near_copies([np.frombuffer(lists[i][0], tv.U64) for i in k]) + y
-    names, group = np.unique(group, return_inverse=True)
-    group_toxic = names % 2 == 1
-    mined = []
-    for k in range(1 + len(BEGINNINGS)):
-        h = [np.frombuffer(u[k], tv.U64) for u in lists]
-        mined.append(mine(np.concatenate(h), np.repeat(group, [len(x) for x in h]), group_toxic) if h else np.zeros(0, tv.U64))
-    del lists, got
-    lexicons = Lexicons(_hash_words(LEXICON), mined)
+        group = near_copies([least[i] for i in k])
+        out += [(int(n[k[i]]), y) for i in np.sort(np.unique(group, return_index=True)[1])]
+    return sample.sparkSession.createDataFrame(out, "n int, toxic boolean")
+
 
+def mine(sample: DataFrame) -> Lexicons:
+    """Lexicons of the units of a labelled sample; near copies of one label count once."""
+
+    def units(rows: pa.RecordBatch, offsets: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
+        first, whole, begins = word_units(offsets, data, BEGINNINGS)
+        owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        toxic = rows.column(0).to_numpy(zero_copy_only=False)[owner] if len(owner) else np.zeros(0, bool)
+        kind, unit, pos, neg = [], [], [], []
+        for k, h in enumerate(chain([whole], begins)):
+            once = np.unique(tv.mix(h + tv.mix(owner.astype(tv.U64) + tv.U64(1))), return_index=True)[1]
+            names, inv = np.unique(h[once], return_inverse=True)
+            kind.append(np.full(len(names), k, np.int32))
+            unit.append(names.view(np.int64))
+            pos.append(np.bincount(inv, weights=toxic[once], minlength=len(names)).astype(np.int64))
+            neg.append(np.bincount(inv, weights=~toxic[once], minlength=len(names)).astype(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (kind, unit, pos, neg)], ["kind", "unit", "pos", "neg"])
+
+    texts = cut(_representatives(sample))
+    sizes = texts.agg(F.count_if("toxic").alias("p"), F.count_if(~F.col("toxic")).alias("q")).first()
+    counts = map_texts(sample.join(F.broadcast(texts), "n").select("toxic", "text"), "text", "kind int, unit bigint, pos bigint, neg bigint", units).groupBy("kind", "unit").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    got = mined_units(counts, sizes.p, sizes.q).toArrow()
+    kind, unit = got.column("kind").to_numpy(), got.column("unit").to_numpy().view(np.uint64)
+    return Lexicons(_hash_words(LEXICON), [np.sort(unit[kind == k]) for k in range(1 + len(BEGINNINGS))])
+
+
+def vote_counts(texts: DataFrame, lexicons: Lexicons) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns of votes over all ``texts`` and how many texts have each."""
     code = 3 ** np.arange(len(VOTERS), dtype=np.int64)
 
     def vote(rows: pa.RecordBatch, offsets: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array((lexicons.votes(offsets, data).astype(np.int64) + 1) @ code)], ["votes"])
 
-    counted = map_texts(src.select("text"), "text", "votes bigint", vote).groupBy("votes").count().toArrow()
-    codes = np.sort(counted.column("votes").to_numpy())
-    weight = counted.column("count").to_numpy()[np.argsort(counted.column("votes").to_numpy())]
-    votes = (codes[:, None] // code % 3 - 1).astype(np.int8)
-    label_model = fit_label_model(votes, weight)
+    counted = map_texts(texts, "text", "votes bigint", vote).groupBy("votes").count().toArrow().sort_by("votes")
+    return (counted.column("votes").to_numpy()[:, None] // code % 3 - 1).astype(np.int8), counted.column("count").to_numpy()
+
 
-    def learn(rows: pa.RecordBatch, offsets: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
+def learn(sample: DataFrame, lexicons: Lexicons, labels: LabelModel, threshold: float) -> tuple[np.ndarray, float]:
+    """Weights of all slots and a bias, learned from the posteriors of a sample."""
+    unit = 1 << 20  # posteriors are summed as integers, so the order of the sums does not matter
+
+    def units(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(text, slot, occurrences, posterior and words per text)."""
         first, whole, begins = word_units(offsets, data, BEGINNINGS)
         owner, slot = _slots(first, whole, begins)
         pair, times = np.unique(owner * np.int64(1 << BITS) + slot, return_counts=True)
-        at = np.searchsorted(pair, np.arange(len(first)) * np.int64(1 << BITS))
-        slot = (pair & ((1 << BITS) - 1)).astype(np.int32)
-        p = label_model.posterior(lexicons.votes(offsets, data))
-        n = np.diff(first)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(p), pa.array(n.astype(np.int64)), *(pa.array([v[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()) for v in (slot, times.astype(np.int32)))],
-            ["p", "n", "slot", "times"],
-        )
-
-    sample = bounded_sample(src.where(remainder(F.col("_id"), folds) != held).select("_id").distinct(), training // 2, F.col("_id")).union(bounded_sample(rare.select("_id"), training // 2, F.col("_id"))).distinct()
-    rows = map_texts(src.join(F.broadcast(sample), "_id").select("text"), "text", "p double, n bigint, slot binary, times binary", learn).toArrow()
-    order = np.lexsort((rows.column("n").to_numpy(), rows.column("p").to_numpy()))
-    n, p = rows.column("n").to_numpy()[order], rows.column("p").to_numpy()[order]
-    slot, times = rows.column("slot").to_pylist(), rows.column("times").to_pylist()
-    del rows
-    pairs = [(np.frombuffer(slot[i], np.int32), np.frombuffer(times[i], np.int32)) for i in order]
-    weights, bias = fit_linear(pairs, n, p, threshold=threshold)
-    return ToxicModel(lexicons, label_model, weights, bias, threshold)
+        p = np.rint(labels.posterior(lexicons.votes(offsets, data)) * unit).astype(np.int64)
+        return pair >> BITS, pair & ((1 << BITS) - 1), times, p, np.diff(first)
+
+    def weigh(rows: pa.RecordBatch, offsets: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
+        owner, slot, _, p, _ = units(offsets, data)
+        names, inv = np.unique(np.append(slot, -1), return_inverse=True)
+        sums = [np.bincount(inv, weights=np.append(w[owner], w.sum()), minlength=len(names)).astype(np.int64) for w in (p, unit - p)]
+        return pa.RecordBatch.from_arrays([pa.array(names), *map(pa.array, sums)], ["slot", "pos", "neg"])
+
+    # The row of slot -1 has the texts themselves.
+    summed = map_texts(sample.select("text"), "text", "slot bigint, pos bigint, neg bigint", weigh).groupBy("slot").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toArrow().sort_by("slot")
+    slot, pos, neg = (summed.column(k).to_numpy() for k in ("slot", "pos", "neg"))
+    weights = np.zeros(1 << BITS, np.float32)
+    if not len(slot):
+        return weights, -3.0
+    chosen = choose_slots(slot[1:], pos[1:] / unit, neg[1:] / unit, pos[0] / unit, neg[0] / unit)
+
+    def kept(rows: pa.RecordBatch, offsets: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
+        owner, slot, times, p, n = units(offsets, data)
+        ok = np.isin(slot, chosen, assume_unique=False)
+        owner, at, times = owner[ok], np.searchsorted(chosen, slot[ok]).astype(np.int32), times[ok].astype(np.int32)
+        cuts = np.searchsorted(owner, np.arange(len(n) + 1))
+        parts = [pa.array([v[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for v in (at, times)]
+        return pa.RecordBatch.from_arrays([rows.column(0), pa.array(p), pa.array(n.astype(np.int64)), *parts], ["row", "p", "n", "at", "times"])
+
+    got = map_texts(sample.select("n", "text"), "text", "row int, p bigint, n bigint, at binary, times binary", kept).toArrow().sort_by("row")
+    at = [np.frombuffer(x, np.int32) for x in got.column("at").to_pylist()]
+    times = np.concatenate([np.frombuffer(x, np.int32) for x in got.column("times").to_pylist()])
+    owner = np.repeat(np.arange(len(at)), [len(x) for x in at])
+    w, b = fit_linear(owner, np.concatenate(at), times, got.column("n").to_numpy(), got.column("p").to_numpy() / unit, len(chosen), threshold=threshold)
+    weights[chosen] = w
+    return weights, b
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", folds: int = 3, held: int = 1, threshold: float = 0.7, limit: int = MAX_LABELLED) -> ToxicModel:
+    """Mine lexicons from labelled rows outside the held-out fold, count votes over all of ``docs``, fit the label model, then the classifier.
+
+    Lexicons and classifier use at most ``limit`` labelled rows; held-out rows
+    give votes only, and what the classifier learns are posteriors. Without any
+    label only the fixed list is a lexicon and every score is that of a clean text.
+    """
+    sample = labelled_sample(docs, labels, id_col, text_col, label, folds, held, limit)
+    lexicons = mine(sample)
+    model = fit_label_model(*vote_counts(docs.select(F.col(f"`{text_col}`").alias("text")), lexicons))
+    return ToxicModel(lexicons, model, *learn(sample, lexicons, model, threshold), threshold)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text", folds: int = 3, held: int = 1) -> DataFrame:

@@ -303,6 +303,7 @@ def test_passages(spark, monkeypatch, length, gram, split):
     rows += [(100 + k, f"{'x' * k} start {k} {shared}{k % 3} end {shared[: 40 + k]}", "en", "s", 0) for k in range(9)]
     rows += [(200, "ab" * 150, "en", "s", 0), (201, "a" * 260, "en", "s", 0), (202, "ab" * 80 + "a" * 120, "en", "s", 0)]
     monkeypatch.setattr(passages, "SPLIT", split)
+    monkeypatch.setattr(passages, "TOGETHER", 400_000 if split > 1 else 50)
     got = passages.digest(passages.repeated_passages(frame(spark, rows), length=length, gram=gram)).collect()
     assert bag(got) == bag(passages_truth(rows, length))
 
