@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; where it names none (tests, a laptop), a temporary one is set once."""
+    """The folder that ``spark.checkpoint.dir`` names; a session on this machine alone that names none (tests, a laptop) gets a temporary one, once."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="lodestone-checkpoint-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
     if not sc.getCheckpointDir():
