@@ -6,7 +6,13 @@ for each block a vector of its tag path (names, classes and ids, hashed), a vect
 of its hashed words and a few measures, and labels every block with the whole page
 as context. It is trained here, by back-propagation through time, on pages that
 ``example_page`` makes: articles of running text among menus, headers, footers,
-sidebars, notices, adverts, forms and comments in many arrangements.
+sidebars, notices, adverts, forms and comments in many arrangements. The trained
+weights are kept in a file beside this module; ``python -m
+lodestone.llm.html_blocks`` trains and writes them anew.
+
+Pages are cut into blocks in time that grows with their length, and read in
+portions of blocks that carry the LSTM's state, so a page of any length takes the
+memory of its blocks and of two short states for each.
 """
 
 from __future__ import annotations
@@ -14,18 +20,24 @@ from __future__ import annotations
 import html as _html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textvec as tv
+
 #: Tags that end a run of text (fixed values).
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 #: Elements whose content is never text of the page (fixed values).
-SKIPPED = frozenset("script style noscript template iframe svg math head title textarea object canvas audio video noembed noframes".split())
+SKIPPED = frozenset("script style noscript template iframe svg head title textarea object canvas audio video noembed noframes".split())
+#: Of these, elements whose content is no markup: left open, they reach to the end of the page (fixed values).
+RAW = frozenset("script style textarea iframe noembed noframes".split())
 #: Elements without content (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: An open element that ends where one of these begins in it (fixed values).
@@ -39,7 +51,10 @@ _CLOSED_BY = {
     "option": frozenset(["option", "optgroup"]),
 }
 _STOPS = frozenset("ul ol table dl select body html article section div main aside nav header footer form td th".split())
-_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
+#: Elements inside each other that count; a page may be nested deeper, but what is deeper adds no name to a path.
+DEPTH = 256
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_PLAIN = re.compile(r"[^'\">]*")
 _NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORD = re.compile(r"[^\W_]+")
 
@@ -62,80 +77,138 @@ def _names(tag: str, attrs: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+class _Marks:
+    """Markup of a page, one mark after another: (where it begins, where it ends, "/" or "", tag, attributes). The tag of comments and the like is empty."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.gone: set[str] = set()  # what does not occur in the rest of the page
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.gone:
+            return -1
+        k = self.page.find(what, at)
+        if k < 0:
+            self.gone.add(what)
+        return k
+
+    def past(self, what: str, at: int) -> int:
+        k = self.find(what, at)
+        return k + len(what) if k >= 0 else len(self.page)
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag whose attributes begin at ``at`` ends. A quote that nothing closes is an ordinary character."""
+        while True:
+            at = _PLAIN.match(self.page, at).end()
+            c = self.page[at : at + 1]
+            if c in (">", ""):
+                return at
+            k = self.find(c, at + 1)
+            at = k + 1 if k >= 0 else at + 1
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        page = self.page
+        while (at := self.find("<", at)) >= 0:
+            if m := _TAG.match(page, at):
+                end = self.tag_end(m.end())
+                return at, min(end + 1, len(page)), m[1], m[2].lower(), page[m.end() : end]
+            if page.startswith("<!--", at):
+                return at, self.past("-->", at + 4), "", "", ""
+            if page.startswith("<![CDATA[", at):
+                return at, self.past("]]>", at + 9), "", "", ""
+            if page.startswith(("<!", "<?"), at):
+                return at, self.past(">", at), "", "", ""
+            at += 1
+        return None
+
+
 def blocks_of(page: str) -> list[Block]:
     """(text, path, letters inside links) of every run of text, in page order. Text is decoded, its white space single and trimmed; empty runs are left out."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
-    linked = 0
+    blank, linked, links = True, 0, 0
     path: tuple = ()
+    opened: Counter[str] = Counter()
+    marks = _Marks(page)
+    unclosed: set[str] = set()
 
     def flush() -> None:
-        nonlocal linked
-        if parts:
-            text = " ".join("".join(parts).split())
-            if text:
-                out.append((text, path, linked))
-            parts.clear()
-            linked = 0
+        nonlocal blank, linked
+        if not blank:
+            out.append((" ".join("".join(parts).split()), path, linked))
+        parts.clear()
+        blank, linked = True, 0
 
     def take(raw: str) -> None:
-        nonlocal path, linked
+        nonlocal path, blank, linked
         if not raw:
             return
         text = _html.unescape(raw) if "&" in raw else raw
         if not text.isspace():
-            if not parts or "".join(parts).isspace():
+            if blank:
                 path = tuple(n for _, names in stack for n in names)
-            if any(t == "a" for t, _ in stack):
+                blank = False
+            if links:
                 linked += len(text)
         parts.append(text)
 
+    def leave(k: int) -> None:
+        nonlocal links
+        for t, _ in stack[k:]:
+            opened[t] -= 1
+        links = opened["a"]
+        del stack[k:]
+
     at, end = 0, len(page)
     while at < end:
-        m = _MARK.search(page, at)
-        if m is None:
+        mark = marks.next(at)
+        if mark is None:
             take(page[at:])
             break
-        take(page[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if not name:
+        take(page[at : mark[0]])
+        _, at, closes, tag, attrs = mark
+        if not tag:
             continue
-        tag = name.lower()
-        if m[1]:
+        if closes:
             if tag in BLOCK_TAGS:
                 flush()
             elif tag == "br":
                 parts.append(" ")
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[k][0] == tag:
-                    del stack[k:]
+                    leave(k)
                     break
                 if tag not in BLOCK_TAGS and stack[k][0] in BLOCK_TAGS:
                     break
             continue
         if tag in SKIPPED:
-            if not (m[3] or "").rstrip().endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-                # An unclosed head or title ends where the body begins.
-                if close is None and tag in ("head", "title"):
-                    close = re.compile(r"(?=<body\b)", re.I).search(page, at)
-                at = close.end() if close else (at if tag in ("head", "title") else end)
+            if not attrs.rstrip().endswith("/"):
+                close = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                if close is None:
+                    unclosed.add(tag)
+                    # An unclosed head or title ends where the body begins, raw text at the end; of others the tag alone is skipped.
+                    if tag in ("head", "title") and "<body" not in unclosed:
+                        close = re.compile(r"(?=<body\b)", re.I).search(page, at)
+                        if close is None:
+                            unclosed.add("<body")
+                at = close.end() if close else end if tag in RAW else at
             continue
         if tag in BLOCK_TAGS:
             flush()
             for k in range(len(stack) - 1, -1, -1):
                 t = stack[k][0]
                 if t == "p" or tag in _CLOSED_BY.get(t, ()):
-                    del stack[k:]
+                    leave(k)
                     break
                 if t in _STOPS:
                     break
         elif tag == "br":
             parts.append(" ")
-        if tag not in VOID and not (m[3] or "").endswith("/"):
-            stack.append((tag, _names(tag, m[3])))
+        if tag not in VOID and not attrs.endswith("/") and len(stack) < DEPTH:
+            stack.append((tag, _names(tag, attrs)))
+            opened[tag] += 1
+            links = opened["a"]
     flush()
     return out
 
@@ -145,29 +218,29 @@ def _slot(name: str, n: int) -> int:
     return zlib.crc32(name.encode("utf-8", "surrogatepass")) % n
 
 
-def vectors(blocks: list[Block]) -> np.ndarray:
-    """A row for each block: its hashed tag path, its hashed words as shares, and its measures."""
-    n, width = len(blocks), PATHS + WORDS + DENSE
-    x = np.zeros((n, width), np.float32)
+def vectors(blocks: list[Block], at: int = 0, total: int | None = None) -> np.ndarray:
+    """A row for each block: its hashed tag path, its hashed words as shares, and its measures. ``blocks`` may be a part, from ``at``, of a page of ``total`` blocks."""
+    n, width = total or len(blocks), PATHS + WORDS + DENSE
+    x = np.zeros((len(blocks), width), np.float32)
     flat = x.ravel()
-    at, share = [], []
+    where, share = [], []
     for k, (text, path, linked) in enumerate(blocks):
-        for t in path:
+        for t in set(path):
             flat[k * width + _slot(f"any {t}", PATHS)] = 1
         for t in path[-2:]:
             flat[k * width + _slot(f"last {t}", PATHS)] = 1
         found = _WORD.findall(text.lower())
         size, c = len(text), max(len(found), 1)
         base = k * width + PATHS
-        at += [base + zlib.crc32(w.encode()) % WORDS for w in found]
+        where += [base + zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORDS for w in found]
         share += [2 / c] * len(found)
         x[k, PATHS + WORDS :] = (
             min(np.log1p(c), 6) / 3, linked / size, min((text.count(".") + text.count(",")) / c, 1), sum(map(text.count, "0123456789")) / size,
-            text[-1] in ".!?:;\"»”)", min(size / c / 10, 3), k / max(n - 1, 1), 1 - min(n, 100) / 100, c < 4, c > 25, "©" in text or "(c)" in text, "|" in text or "»" in text,
+            text[-1] in ".!?:;\"»”)", min(size / c / 10, 3), (at + k) / max(n - 1, 1), 1 - min(n, 100) / 100, c < 4, c > 25, "©" in text or "(c)" in text, "|" in text or "»" in text,
             min(len(path), 20) / 20, 1,
         )
-    if at:
-        u, inv = np.unique(np.array(at, np.int64), return_inverse=True)
+    if where:
+        u, inv = np.unique(np.array(where, np.int64), return_inverse=True)
         flat[u] = np.minimum(np.bincount(inv, weights=share), 3)
     return x
 
@@ -244,16 +317,43 @@ class Labeller:
         loss = float(-np.mean(y * np.log(p + 1e-9) + (1 - y) * np.log(1 - p + 1e-9)))
         return loss, grad
 
-    def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
-        """Per page a flag for each block."""
+    def states(self, pages: list[list[Block]], direction: str, x: list[np.ndarray] | None, portion: int = 2048) -> np.ndarray:
+        """(step, page, HIDDEN): states of one direction, for pages in ascending order of length. Without their vectors ``x`` these are made for ``portion`` cells at a time."""
+        n = np.array([len(p) for p in pages])
+        top, step = int(n[-1]), max(portion // len(pages), 1)
+        w, u = self.p[f"in{direction}"], self.p[f"u{direction}"]
+        out = np.zeros((top, len(pages), HIDDEN), np.float32)
+        h = c = np.zeros((len(pages), HIDDEN), np.float32)
+        portions = range(0, top, step)
+        for a in portions if direction == "f" else reversed(portions):
+            b = min(a + step, top)
+            z = np.zeros((b - a, len(pages), 4 * HIDDEN), np.float32)
+            for k in range(int(np.searchsorted(n, a, "right")), len(pages)):
+                z[: n[k] - a, k] = (vectors(pages[k][a:b], a, int(n[k])) if x is None else x[k][a:b]) @ w
+            for t in range(a, b) if direction == "f" else range(b - 1, a - 1, -1):
+                live = (n > t)[:, None].astype(np.float32)
+                g = z[t - a] + h @ u
+                i, f, o = (_sig(g[:, k * HIDDEN : (k + 1) * HIDDEN]) for k in range(3))
+                c = (f * c + i * np.tanh(g[:, 3 * HIDDEN :])) * live
+                h = o * np.tanh(c) * live
+                out[t] = h
+        return out
+
+    def label(self, pages: list[list[Block]], cells: int = 1 << 16) -> list[np.ndarray]:
+        """Per page a flag for each block. Pages of like length are read together, up to ``cells`` blocks with what fills the shorter ones up."""
         out: list = [np.zeros(0, bool)] * len(pages)
         order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
-        for at in range(0, len(order), 128):
-            part = order[at : at + 128]
-            logit, _ = self.run([vectors(pages[k]) for k in part])
-            ends = np.cumsum([len(pages[k]) for k in part])
-            for k, flags in zip(part, np.split(logit > 0, ends[:-1]), strict=True):
-                out[k] = flags
+        at = 0
+        while at < len(order):
+            end = at + 1
+            while end < len(order) and end - at < 128 and len(pages[order[end]]) * (end - at + 1) <= cells:
+                end += 1
+            part = [pages[k] for k in order[at:end]]
+            x = [vectors(p) for p in part] if sum(map(len, part)) <= cells // 8 else None
+            logit = self.states(part, "f", x) @ self.p["out"][:HIDDEN] + self.states(part, "b", x) @ self.p["out"][HIDDEN:] + self.p["b"]
+            for j, k in enumerate(order[at:end]):
+                out[k] = logit[: len(pages[k]), j] > 0
+            at = end
         return out
 
 
@@ -382,7 +482,6 @@ def _marked(page: str, article: list[str]) -> tuple[list[Block], np.ndarray]:
     return blocks, y
 
 
-@cache
 def train(seed: int = 11, pages: int = 1100, epochs: int = 12, batch: int = 30, rate: float = 0.015) -> Labeller:
     """A labeller fitted by Adam to made pages; the same for the same seed."""
     r = np.random.default_rng(seed)
@@ -405,22 +504,42 @@ def train(seed: int = 11, pages: int = 1100, epochs: int = 12, batch: int = 30,
     return net
 
 
+#: Written by ``save``; the arrays of ``Labeller.p``.
+WEIGHTS = Path(__file__).with_name("html_blocks.npz")
+
+
+def save(path: Path = WEIGHTS) -> None:
+    """Train and write the weights, in half precision."""
+    np.savez_compressed(path, **{k: v.astype(np.float16) for k, v in train().p.items()})
+
+
+@cache
+def trained() -> Labeller:
+    """The labeller of the weights file."""
+    net = Labeller()
+    with np.load(WEIGHTS) as f:
+        net.p = {k: f[k].astype(np.float32) for k in f.files}
+    return net
+
+
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row of ``pages``: page_id, url, text (content blocks joined by line feeds), n_chars.
 
     A null page counts as empty and has an empty text; rows that repeat are
     extracted each; other columns are ignored; an empty table gives an empty result.
     """
-    net = train()
+    net = trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
-                blocks = [blocks_of(h or "") for h in rows.column(2).to_pylist()]
-                texts = ["\n".join(b[0] for b, ok in zip(bs, flags, strict=True) if ok) for bs, flags in zip(blocks, net.label(blocks), strict=True)]
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+        for rows, _, _ in tv.pieces(batches, "html", 1 << 20):
+            blocks = [blocks_of(h.as_py() or "") for h in rows.column(2)]
+            texts = ["\n".join(b[0] for b, ok in zip(bs, flags, strict=True) if ok) for bs, flags in zip(blocks, net.label(blocks), strict=True)]
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     src = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
     kinds = {f.name: f.dataType.simpleString() for f in src.schema}
     return src.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint")
+
+
+if __name__ == "__main__":
+    save()

@@ -1,15 +1,17 @@
 """Token counts of flat, unindexed token files by a separator scan.
 
 A token file is a stream of little-endian identifiers in which every document
-ends with a separator; nothing says where documents begin. The stream is read in
-blocks of a fixed number of tokens, cut anywhere. Each block is searched for
-separators in one vectorised comparison; a running maximum over the blocks of a
-file then carries the last separator before each block across the boundaries,
-so a document may span any number of blocks.
+ends with a separator; nothing says where documents begin. Ranges of the files,
+each a block of a fixed number of tokens cut anywhere, are read on the executors,
+so a file may have any size. Each block is searched for separators in one
+vectorised comparison; running sums and a running maximum over the blocks of a
+file then carry positions and the last separator before each block across the
+boundaries, so a document may span any number of blocks.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import cut, stored
+from . import textvec as tv
+from .store import new_path, stored, until_exit
 
 #: Files of the public vocabulary, and the identifier that is free for the end of a document.
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -43,56 +46,70 @@ def encoder(path: str):
     return _encoders[path]
 
 
-def _writer(path: str, end: int, block: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
-        file = TaskContext.get().partitionId()
-        hold, ids, size, number = [], [], 0, 0
+def _opened(uri: str):
+    """(file system, path) of a file on storage that all executors reach."""
+    from pyarrow import fs
 
-        def emit(tokens: np.ndarray, names: list) -> pa.RecordBatch:
-            nonlocal number
-            number += 1
-            return pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([number - 1], pa.int64()), pa.array([tokens.tobytes()], pa.binary()), pa.array([names], pa.list_(id_type))], ["file", "block", "tokens", "ids"])
+    return fs.FileSystem.from_uri(re.sub(r"^file:/*", "file:///", uri))
 
-        for batch in batches:
-            id_type = batch.schema.field(0).type
-            for at in range(0, batch.num_rows, 200):
-                rows = batch.slice(at, 200)
-                for name, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-                    t = enc.encode_ordinary(text or "")
+
+def _writer(folder: str, path: str, end: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, task = encoder(path), TaskContext.get()
+        # An attempt that fails leaves a file that no row names.
+        name = f"{task.partitionId():06d}-{task.taskAttemptId()}.tokens"
+        out, ordinal = None, 0
+        try:
+            for rows, _, _ in tv.pieces(batches, "text"):
+                if out is None:
+                    store, where = _opened(f"{folder}/{name}")
+                    store.create_dir(where.rsplit("/", 1)[0])
+                    out = store.open_output_stream(where)
+                for text in rows.column(1):
+                    t = enc.encode_ordinary(text.as_py() or "")
                     t.append(end)
-                    hold.append(np.array(t, np.uint16))
-                    size += len(t)
-                    ids.append((size - 1, name))
-                    if size >= block:
-                        flat = np.concatenate(hold)
-                        full = size // block * block
-                        for k in range(0, full, block):
-                            yield emit(flat[k : k + block], [n for p, n in ids if k <= p < k + block])
-                        hold, size = [flat[full:].copy()], size - full
-                        ids = [(p - full, n) for p, n in ids if p >= full]
-        if size:
-            yield emit(np.concatenate(hold), [n for _, n in ids])
+                    out.write(np.array(t, "<u2").tobytes())
+                n = rows.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.arange(ordinal, ordinal + n)), rows.column(0)], ["file", "ordinal", "id"])
+                ordinal += n
+        finally:
+            if out is not None:
+                out.close()
 
     return run
 
 
-def token_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = f"{TOKENIZER_DIR}/{VOCABULARY}", end: int = END, block: int = 1 << 16) -> DataFrame:
-    """(file, block, tokens, ids): every partition of ``docs`` as one flat file of 16-bit tokens, in blocks.
+def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = f"{TOKENIZER_DIR}/{VOCABULARY}", end: int = END) -> DataFrame:
+    """(file, ordinal, id): every partition of ``docs`` written as one flat file of 16-bit tokens in ``folder``.
 
-    ``ids`` is a side list of the documents that end in a block; the scan does
-    not read it. A null text counts as empty: it has the separator only.
+    The table says which document is the how-manieth of which file; the files
+    hold no index. Nothing is written until it is read, and it must be read once,
+    so store it. A null text counts as empty: it has the separator only.
     """
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return src.mapInArrow(_writer(vocabulary, end, block), f"file bigint, block bigint, tokens binary, ids array<{src.schema['id'].dataType.simpleString()}>")
+    return src.mapInArrow(_writer(folder, vocabulary, end), f"file string, ordinal bigint, id {src.schema['id'].dataType.simpleString()}")
+
+
+def _range_reader(step: int, width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                store, path = _opened(row.column(0)[0].as_py())
+                with store.open_input_file(path) as f:
+                    data = f.read_at(step, row.column(1)[0].as_py() * step)
+                yield pa.RecordBatch.from_arrays([row.column(0), row.column(1), pa.array([data[: len(data) // width * width]], pa.binary())], ["file", "block", "tokens"])
+
+    return run
 
 
 def read_token_files(spark: SparkSession, path: str, width: int = 2, block: int = 1 << 20) -> DataFrame:
-    """(file, block, tokens) of files of little-endian identifiers of ``width`` bytes, read by Spark."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content", "length")
+    """(file, block, tokens) of files of little-endian identifiers of ``width`` bytes. Spark lists the files; each range is read by itself. Bytes after the last whole identifier are left out."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length").where(F.col("length") >= width)
     step = block * width
-    at = F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.ceil(F.col("length") / step) - 1, F.lit(0)).cast("bigint")))
-    return files.where("length > 0").select("file", at.alias("block"), "content").select("file", "block", F.substring(F.col("content"), (F.col("block") * step + 1).cast("int"), F.lit(step)).alias("tokens"))
+    last = F.floor((F.col("length") - 1) / step).cast("bigint")
+    ranges = files.select("file", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("block"))
+    return ranges.repartition("file", "block").mapInArrow(_range_reader(step, width), "file string, block bigint, tokens binary")
 
 
 def _searcher(end: int, width: int):
@@ -103,7 +120,7 @@ def _searcher(end: int, width: int):
             tokens = [np.frombuffer(t or b"", dtype) for t in batch.column(batch.schema.get_field_index("tokens")).to_pylist()]
             ends = [np.flatnonzero(t == end) for t in tokens]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(t) for t in tokens], pa.int64()), pa.array([e.tolist() for e in ends], pa.list_(pa.int64()))],
+                [batch.column(0), batch.column(1), pa.array([len(t) for t in tokens], pa.int64()), pa.ListArray.from_arrays(np.append(0, np.cumsum([len(e) for e in ends])).astype(np.int32), pa.array(np.concatenate([np.zeros(0, np.int64), *ends])))],
                 ["file", "block", "n", "ends"],
             )
 
@@ -119,28 +136,38 @@ def scan_blocks(blocks: DataFrame, end: int = END, width: int = 2) -> DataFrame:
     length 0; a file without any token gives nothing.
     """
     kind = blocks.schema["file"].dataType.simpleString()
-    found = cut(blocks.select("file", "block", "tokens").mapInArrow(_searcher(end, width), f"file {kind}, block bigint, n bigint, ends array<bigint>"))
+    found = stored(blocks.select("file", "block", "tokens").mapInArrow(_searcher(end, width), f"file {kind}, block bigint, n bigint, ends array<bigint>"))
+    # The scan moves a few numbers for each block, not its separators.
     order = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    based = found.withColumn("base", F.coalesce(F.sum("n").over(order), F.lit(0))).withColumn("first_ordinal", F.coalesce(F.sum(F.size("ends")).over(order), F.lit(0)))
-    last = F.when(F.size("ends") > 0, F.col("base") + F.element_at("ends", -1))
-    based = based.withColumn("carry", F.coalesce(F.max(last).over(order), F.lit(-1).cast("bigint")))
-    at = F.transform("ends", lambda e: e + F.col("base"))
-    rows = based.where(F.size("ends") > 0).select("file", "block", "first_ordinal", "carry", at.alias("ends"))
+    each = found.select("file", "block", "n", F.size("ends").alias("k"), F.when(F.size("ends") > 0, F.element_at("ends", -1)).alias("last"))
+    each = each.withColumn("base", F.coalesce(F.sum("n").over(order), F.lit(0).cast("bigint"))).withColumn("first_ordinal", F.coalesce(F.sum("k").over(order), F.lit(0).cast("bigint")))
+    each = each.withColumn("last", F.col("last") + F.col("base")).withColumn("carry", F.coalesce(F.max("last").over(order), F.lit(-1).cast("bigint")))
+    rows = found.where(F.size("ends") > 0).select("file", "block", "ends").join(each.select("file", "block", "base", "first_ordinal", "carry"), ["file", "block"])
+    rows = rows.select("file", "block", "first_ordinal", "carry", F.transform("ends", lambda e: e + F.col("base")).alias("ends"))
     lengths = F.zip_with("ends", F.concat(F.array("carry"), F.slice("ends", 1, F.size("ends") - 1)), lambda e, p: e - p - 1)
     whole = rows.select("file", "block", "first_ordinal", "ends", lengths.alias("n_tokens"))
-    tail = based.groupBy("file").agg(F.sum("n").alias("n"), F.max(last).alias("last"), F.sum(F.size("ends")).cast("bigint").alias("first_ordinal"))
+    tail = each.groupBy("file").agg(F.sum("n").alias("n"), F.max("last").alias("last"), F.sum("k").cast("bigint").alias("first_ordinal"))
     tail = tail.withColumn("rest", F.col("n") - 1 - F.coalesce("last", F.lit(-1))).where("rest > 0")
     return whole.unionByName(tail.select("file", F.lit(None).cast("bigint").alias("block"), "first_ordinal", F.array("n").alias("ends"), F.array("rest").alias("n_tokens")))
 
 
-def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 1 << 20, **options) -> DataFrame:
     """(doc_id, file, ordinal, start, n_tokens): tokens of each row of ``docs``, counted from flat files.
 
-    Rows that repeat are counted each; other columns are ignored; an empty table
+    The files are written to the shared folder, read in ranges of ``block``
+    tokens and go with the driver. A null text counts as empty and has no token;
+    rows that repeat are counted each; other columns are ignored; an empty table
     gives an empty result.
     """
-    blocks = stored(token_blocks(docs, id_col, text_col, **options))
-    scanned = scan_blocks(blocks)
-    named = blocks.select("file", "block", "ids").join(scanned, ["file", "block"])
-    rows = named.select("file", "first_ordinal", F.posexplode(F.arrays_zip("ids", "ends", "n_tokens")).alias("k", "d"))
-    return rows.select(F.col("d.ids").alias("doc_id"), "file", (F.col("first_ordinal") + F.col("k")).alias("ordinal"), (F.col("d.ends") - F.col("d.n_tokens")).alias("start"), F.col("d.n_tokens").alias("n_tokens"))
+    spark = docs.sparkSession
+    folder = new_path(spark, "tokens")
+    names = stored(write_token_files(docs, folder, id_col, text_col, **options))
+    if names.isEmpty():
+        return names.select(F.col("id").alias("doc_id"), "file", "ordinal", F.col("ordinal").alias("start"), F.col("ordinal").alias("n_tokens"))
+    until_exit(spark, folder)
+    blocks = read_token_files(spark, folder, block=block).withColumn("file", F.element_at(F.split("file", "/"), -1))
+    written = names.select("file").distinct()
+    scanned = scan_blocks(blocks.join(written, "file", "left_semi"))
+    counted = scanned.select("file", "first_ordinal", F.posexplode(F.arrays_zip("ends", "n_tokens")).alias("k", "d"))
+    counted = counted.select("file", (F.col("first_ordinal") + F.col("k")).alias("ordinal"), (F.col("d.ends") - F.col("d.n_tokens")).alias("start"), F.col("d.n_tokens").alias("n_tokens"))
+    return counted.join(names, ["file", "ordinal"]).select(F.col("id").alias("doc_id"), "file", "ordinal", "start", "n_tokens")

@@ -3,6 +3,7 @@
 import hashlib
 import html
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -234,6 +235,49 @@ def test_html_blocks():
     assert html_blocks.blocks_of("plain &am text")[0][0] == html.unescape("plain &am text")
 
 
+def test_broken_and_endless_markup():
+    texts = lambda page: [b[0] for b in html_blocks.blocks_of(page)]
+    assert texts('<p class="x>one</p><p>two</p>') == ["one", "two"]
+    assert texts("<p>a<svg>b<p>c") == ["ab", "c"] and texts("<p>a<math>b</math>c") == ["abc"]
+    assert texts("<p>a<script>b<p>c") == ["a"] and texts("a < b <") == ["a < b <"]
+    assert len(texts("<div>x" * 3000)) == 3000
+    for page in ("<a " * 40_000, "<p>" + "<b>x</b>" * 40_000, '<p title="x>y</p>' * 40_000, "<i>" * 1000 + "</b>" * 40_000, "< " * 100_000, "<svg>x" * 40_000):
+        began = time.perf_counter()
+        texts(page)
+        assert time.perf_counter() - began < 5
+
+
+def test_portions_of_a_page_give_the_labels_of_the_whole():
+    net = html_blocks.trained()
+    rng = np.random.default_rng(12)
+    pages = [html_blocks.blocks_of(html_blocks.example_page(rng)[0]) for _ in range(40)]
+    pages.append([b for p in pages for b in p])
+    whole = net.label(pages)
+    logits = [net.run([html_blocks.vectors(p)])[0] for p in pages]
+    states = html_blocks.Labeller.states
+    html_blocks.Labeller.states = lambda self, part, d, x: states(self, part, d, None, portion=7)
+    try:
+        parts = net.label(pages, cells=300)
+    finally:
+        html_blocks.Labeller.states = states
+    for a, b, z in zip(whole, parts, logits, strict=True):
+        clear = np.abs(z) > 1e-3
+        assert (a == b)[clear].all() and (a == (z > 0))[clear].all()
+
+
+def test_the_kept_weights_label_articles(spark):
+    """Held against the text that each made page was made from."""
+    rng = np.random.default_rng(4321)
+    made = [html_blocks.example_page(rng) for _ in range(150)]
+    got = html_blocks.extract_text(spark.createDataFrame([(k, "u", p) for k, (p, _) in enumerate(made)], "page_id bigint, url string, html string")).collect()
+    right = total = 0
+    for r in got:
+        have, want = Counter(r.text.split("\n")), Counter(" ".join(t.split()) for t in made[r.page_id][1])
+        right, total = right + sum((have & want).values()), total + sum((have | want).values())
+    assert right / total > 0.97
+    assert html_blocks.extract_text(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
 def test_lstm_gradients_are_right():
     rng = np.random.default_rng(5)
     data = [html_blocks._marked(*html_blocks.example_page(rng)) for _ in range(3)]
@@ -253,7 +297,7 @@ def test_lstm_gradients_are_right():
 
 
 def test_html_query(spark, monkeypatch, net):
-    monkeypatch.setattr(html_blocks, "train", lambda: net)
+    monkeypatch.setattr(html_blocks, "trained", lambda: net)
     rng = np.random.default_rng(8)
     rows = [(k, "u", html_blocks.example_page(rng)[0]) for k in range(5)] + [(9, None, None), (9, "v", ""), (9, "v", "")]
     got = html_blocks.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit("x"))).collect()
@@ -422,6 +466,8 @@ def test_flat_files(spark, tmp_path):
         at = [-1, *np.flatnonzero(t == 9).tolist()]
         truth += [b - a - 1 for a, b in zip(at, at[1:], strict=False)] + ([499 - at[-1]] if at[-1] < 499 else [])
     (tmp_path / "empty.bin").touch()
+    (tmp_path / "torn.bin").write_bytes(np.array([3, 9, 9, 4, 9], "<u2").tobytes() + b"\x09")
+    truth += [1, 0, 1]
     got = token_scan.scan_blocks(token_scan.read_token_files(spark, str(tmp_path), block=37), end=9).collect()
     assert Counter(n for r in got for n in r.n_tokens) == Counter(truth)
 
