@@ -14,7 +14,7 @@ from .operators import lifecycle
 from .plans import boundaries, cycles, dead_code, deps, dupes, fix, health
 from .rulebook import RULES
 from .sources import manifests
-from .sources.project import project_facts, read_sources, template_names
+from .sources.project import project_facts, read_sources, slowest, template_names
 
 
 def parser() -> argparse.ArgumentParser:
@@ -86,6 +86,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
         facts = project_facts(read_sources(spark, root, config.notebooks), root, config, owners, template_names(spark, root))
         facts = facts.with_tables(**manifests.tables(spark, found), **({"dist_requires": requires} if requires is not None else {}))
         mark("facts")
+        for r in facts.resolutions.where("resolution <> 'semantic'").orderBy("path").collect():
+            print(f"warning: {r.path}: {'took too long and is left out' if r.resolution == 'abandoned' else 'only its names are read'}", file=sys.stderr)
         files = facts.files.where("reported").count()
         kept = None
         if a.command in ("dead-code", "fix"):
@@ -132,6 +134,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
         if a.timings:
             for (_, t0), (name, t1) in zip(marks, marks[1:], strict=False):
                 print(f"{name}: {t1 - t0:.2f} s", file=sys.stderr)
+            slow = slowest(facts).first()
+            if slow:
+                print(f"slowest file: {slow.path}, {slow.seconds:.2f} s", file=sys.stderr)
         return 0 if a.write_baseline else code
     except (ValueError, OSError) as e:
         print(f"error: {e}", file=sys.stderr)

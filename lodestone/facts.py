@@ -29,6 +29,7 @@ SCHEMAS: dict[str, str] = {
     "tokens": "file_id int, seq int, kind string, text string, line int, nesting string",
     "deletables": "file_id int, seq int, name string, line int, column int, start int, end int, would_be_empty boolean",
     "sources": "file_id int, text string",
+    "resolutions": "file_id int, path string, resolution string, seconds double",
     "scopes": "scope_id int, manifest_path string, directory string, name string",
     "dependencies": "scope_id int, seq int, name string, group_kind string, group_name string",
     "entry_points": "kind string, module string, attribute string",

@@ -69,11 +69,12 @@ class Scan:
         self.begin = [0]
         for x in self.lines:
             self.begin.append(self.begin[-1] + len(x))
-        self.facts: dict[str, Any] = {k: [] for k in ("symbols", "imports", "aliases", "uses", "strings", "attr_names", "attr_prefixes", "param_names", "path_literals", "package_wide")}
+        self.facts: dict[str, Any] = {k: [] for k in ("symbols", "imports", "aliases", "uses", "strings", "words", "params", "attr_names", "attr_prefixes", "param_names", "path_literals", "package_wide")}
         self.exports: list[str] = []
         self.main_guard = self.reads_globals = False
         self.guards: set[str] = set()
         self.makers: dict[str, str] = {}
+        self.said: set[str] = set()
         self.seq = 0
         self._module_level()
         self._define(self.tree.body, None, None)
@@ -197,6 +198,8 @@ class Scan:
             a = scope.args
             params = [x.arg for x in (*a.posonlyargs, *a.args, *a.kwonlyargs, a.vararg, a.kwarg) if x]
             self.facts["param_names"] += params
+            if isinstance(scope, FUNCTIONS) and (scope.name.startswith("test") or any((dotted(d.func if isinstance(d, ast.Call) else d) or "").rsplit(".", 1)[-1] == "fixture" for d in scope.decorator_list)):
+                self.facts["params"] += [{"name": x.arg, "start": self.offset(x.lineno, x.col_offset), "end": self.offset(x.lineno, x.col_offset) + len(x.arg.encode())} for x in (*a.posonlyargs, *a.args, *a.kwonlyargs)]
             local |= set(params)
             body = scope.body if isinstance(scope.body, list) else [ast.Expr(scope.body)]
             shared: set[str] = set()
@@ -296,6 +299,9 @@ class Scan:
             return
         if IDENTIFIER.match(text):
             self.facts["attr_names"].append(text)
+            if len(text) >= 3 and text not in self.said:
+                self.said.add(text)
+                self.facts["words"].append({"name": text, "line": node.lineno, "column": self.column(node.lineno, node.col_offset)})
         for mark in "%{":
             if mark in text:
                 self._head(text.split(mark)[0])
@@ -324,3 +330,37 @@ class Scan:
             else:
                 self.facts["imports"].append({"seq": self.seq, "module": base, "attr": a.name, "level": level, **where})
                 self.facts["aliases"].append({"name": a.asname or a.name, "module": base, "attr": None if a.name == "*" else a.name, "top": top})
+
+
+_NAMES = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*")
+_IMPORT = re.compile(r"^[ \t]*(?:from[ \t]+(\.*)([A-Za-z0-9_.]*)[ \t]+import[ \t]+\(?([^#\n)]+)|import[ \t]+([^#\n;]+))", re.M)
+
+
+def names_only(source: str, module: str | None, is_package: bool) -> dict[str, Any]:
+    """What the text of a file names, without its structure: dotted names as uses and attributes, and imports that stand on one line."""
+    uses, attrs, imports, aliases = [], set(), [], []
+    at = start = 0
+    for m in _NAMES.finditer(source):
+        start += len(source[at : m.start()].encode())
+        at = m.start()
+        uses.append({"name": m[0], "start": start, "end": start + len(m[0])})
+        attrs.update(m[0].split("."))
+    for m in _IMPORT.finditer(source):
+        line = source.count("\n", 0, m.start()) + 1
+        place = {"line": line, "column": 1, "start": m.start(), "end": m.end(), "kind": "runtime", "condition": "always"}
+        base = m[2] or ""
+        if m[1]:
+            parts = module.split(".") if module else []
+            up = len(m[1]) - (1 if is_package else 0)
+            base = ".".join([*(parts[: len(parts) - up] if up else parts), *([m[2]] if m[2] else [])])
+        for item in (m[3] or m[4]).split(","):
+            name, _, bound = (x.strip() for x in item.partition(" as "))
+            if not (name == "*" or _NAMES.fullmatch(name)):
+                continue
+            if m[4]:
+                imports.append({"seq": len(imports), "module": name, "attr": None, "level": 0, **place})
+                aliases.append({"name": bound or name.split(".")[0], "module": name if bound else name.split(".")[0], "attr": None, "top": True})
+            else:
+                imports.append({"seq": len(imports), "module": base, "attr": name, "level": len(m[1]), **place})
+                aliases.append({"name": bound or name, "module": base, "attr": None if name == "*" else name, "top": True})
+    return {"uses": uses, "attr_names": sorted(attrs), "imports": imports, "aliases": aliases}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import cut
@@ -74,16 +74,19 @@ def component_ranks(edges: DataFrame, components: DataFrame, src: str = "src", d
 
 
 def reachable(edges: DataFrame, roots: DataFrame, src: str = "src", dst: str = "dst", root: str = "root", most: int = 500) -> DataFrame:
-    """(root, node): what each root reaches over one edge or more; a root stops after visiting ``most`` nodes."""
+    """(root, node): what each root reaches over one edge or more, nearest first; a root visits ``most`` nodes exactly, itself among them, and of equally near ones the lesser."""
     e = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct()
-    seen = cut(roots.select(F.col(root).alias("root"), F.col(root).alias("src")).join(e, "src").select("root", F.col("dst").alias("node")).distinct())
-    front = seen
-    while front.limit(1).count():
-        open_ = seen.groupBy("root").count().where(F.col("count") < most).select("root")
-        step = front.join(open_, "root", "left_semi").join(e, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
-        front = cut(step.join(seen, ["root", "node"], "left_anti"))
-        seen = cut(seen.union(front))
-    return seen
+    visited = cut(roots.select(F.col(root).alias("root"), F.col(root).alias("node")).distinct())
+    front, seen = visited, None
+    while not front.isEmpty():
+        step = front.join(e, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
+        seen = cut(step if seen is None else seen.union(step).distinct())
+        # What is left to visit of each root bounds its next front.
+        done = visited.groupBy("root").agg(F.count("*").alias("n"))
+        new = step.join(visited, ["root", "node"], "left_anti").withColumn("k", F.row_number().over(Window.partitionBy("root").orderBy("node")))
+        front = cut(new.join(done, "root").where(F.col("k") + F.col("n") <= most).select("root", "node"))
+        visited = cut(visited.union(front))
+    return edges.sparkSession.createDataFrame([], visited.schema) if seen is None else seen
 
 
 def simple_cycles(order: dict, most: int) -> list[list]:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
 from ..functions.columns import prefixes, suffixes
 
 
@@ -145,6 +147,6 @@ def new_since(now: DataFrame, before: DataFrame, on: list[str]) -> DataFrame:
 def touching(df: DataFrame, path: str, chain: str | None, changed: DataFrame, on: str) -> DataFrame:
     """Rows whose own path, or any path of their chain (an array), is among the changed ones."""
     every = F.array(path) if chain is None else F.array_distinct(F.concat(F.array(path), F.coalesce(chain, F.expr("cast(array() as array<string>)"))))
-    keyed = df.withColumn("__id", F.xxhash64(F.to_json(F.struct(*df.columns))))
+    keyed = cut(df.withColumn("__id", F.monotonically_increasing_id()))
     hit = keyed.select("__id", F.explode(every).alias("__p")).join(changed.select(F.col(on).alias("__p")).distinct(), "__p", "left_semi").select("__id").distinct()
     return keyed.join(hit, "__id", "left_semi").drop("__id")

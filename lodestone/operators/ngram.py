@@ -13,14 +13,17 @@ from .graph import strong_components
 
 def windows(streams: DataFrame, stream: str, tokens: str, size: int, stated: str | None = None) -> DataFrame:
     """(stream, at, key): every run of ``size`` tokens of an array, by position from 0 and 128-bit key. With ``stated``, a parallel array of flags, only runs that hold a true one."""
+    # Every token is hashed once; a window is the hash of its tokens' hashes.
+    streams = streams.where(F.size(tokens) >= size).withColumn("__h", F.transform(tokens, lambda t: F.struct(F.xxhash64(t).alias("a"), F.xxhash64(F.lit(1), t).alias("b"))))
     at = F.sequence(F.lit(1), F.size(tokens) - (size - 1))
     if stated is not None:
         at = F.filter(at, lambda i: F.array_contains(F.slice(F.col(stated), i, size), True))
 
     def window(i: Column) -> Column:
-        part = F.slice(F.col(tokens), i, size)
-        return F.struct((i - 1).alias("at"), F.xxhash64(part).alias("k1"), F.xxhash64(F.lit(1), part).alias("k2"))
-    rows = streams.where(F.size(tokens) >= size).select(stream, F.explode(F.transform(at, window)).alias("w"))
+        part = F.slice("__h", i, size)
+        return F.struct((i - 1).alias("at"), F.xxhash64(part["a"]).alias("k1"), F.xxhash64(part["b"]).alias("k2"))
+
+    rows = streams.select(stream, F.explode(F.transform(at, window)).alias("w"))
     return rows.select(stream, F.col("w.at").alias("at"), F.struct("w.k1", "w.k2").alias("key"))
 
 

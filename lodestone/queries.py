@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import columns as C
 from .operators import graph, joins, ngram
+from .storage import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -192,11 +193,12 @@ def maintainability(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '\S+') AS t FROM documents),
 x AS (SELECT doc_id, s, array_to_string(t[s:s + 49], ' ') AS win FROM (SELECT doc_id, t, unnest(range(1, len(t) - 48)) AS s FROM w WHERE len(t) >= 50)),
 k AS (SELECT win, count(*) AS n FROM x GROUP BY win HAVING count(*) BETWEEN 2 AND 64)
-SELECT doc_id, CAST(s - 1 AS INTEGER) AS at, CAST(n AS BIGINT) AS n FROM x JOIN k USING (win)""")
+SELECT doc_id, CAST(s - 1 AS INTEGER) AS position, CAST(n AS BIGINT) AS n FROM x JOIN k USING (win)""")
 def clone_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.filter(F.split(F.lower("text"), "\\s+"), lambda x: x != "")
-    found = ngram.windows(spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", words.alias("t")), "doc_id", "t", 50)
-    return found.join(ngram.in_band(found), "key").select("doc_id", "at", "n")
+    # Windows are made once; what counts them and what they are counted for read the same table.
+    found = cut(ngram.windows(spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", words.alias("t")), "doc_id", "t", 50))
+    return found.join(ngram.in_band(found), "key").select("doc_id", F.col("at").alias("position"), "n")
 
 
 @query("SELECT md5(text) AS text_md5, count(*) AS copies, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents GROUP BY text HAVING count(*) > 1")

@@ -74,9 +74,14 @@ def markdown(findings: DataFrame, files: int, root: str = "", tool: str = "lodes
     return head + "\n".join([f"**{tool}**: {len(rows)} finding(s) in {files} files.\n", "| Rule | Location | Finding | Confidence |", "| --- | --- | --- | --- |", *rows]) + "\n"
 
 
+def steady(message: Column) -> Column:
+    """A message without what is no property of the code."""
+    return F.regexp_replace(message, r"(?s) it arrives through `.*$", " it arrives through a declared dependency")
+
+
 def snapshot(findings: DataFrame, header: dict[str, object], root: str = "") -> str:
-    """Header counts, a rule, then sorted tab-separated lines: rule, confidence, place, name, message."""
+    """Header counts, a rule, then sorted tab-separated lines: rule, confidence, place, name, message. Which dependency brings in another depends on what is installed, so messages do not say."""
     place = F.concat_ws(":", relative(root) if root else F.col("path"), "line", "column")
-    cols = ["rule", "confidence", place, F.coalesce("symbol", "function", F.lit("-")), "message"]
+    cols = ["rule", "confidence", place, F.coalesce("symbol", "function", F.lit("-")), steady(F.col("message"))]
     rows = [tuple(r) for r in findings.select(*cols).collect()]
     return "\n".join([*(f"{k}={v}" for k, v in header.items()), "--", *("\t".join(map(str, r)) for r in sorted(rows))]) + "\n"

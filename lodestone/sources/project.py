@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import signal
 import threading
+import time
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import cache
@@ -15,21 +16,20 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..facts import DECORATOR, FactSet
 from ..functions import columns as C
-from ..functions.scan import STDLIB, Scan, module_of
+from ..functions.scan import STDLIB, Scan, module_of, names_only
 from ..rulebook import RULES
 from ..storage import cut
 
-#: Seconds for one file before it is left unresolved.
+#: Seconds for one file before only its names are read, and again before it is left out.
 FILE_BUDGET = 20
 MAX_ANCESTORS = 64
-MAX_HOPS = 10
 
 _PLACE = "line:int,column:int"
-SCANNED = f"""path string, rel_path string, module string, text string, exports array<string>, main_guard boolean, reads_globals boolean, resolution string,
+SCANNED = f"""path string, rel_path string, module string, text string, exports array<string>, main_guard boolean, reads_globals boolean, resolution string, seconds double,
 symbols array<struct<ordinal:int,name:string,kind:string,parent_ordinal:int,decorators:array<struct<name:string,keywords:array<string>,call:string,maker:string>>,bases:array<string>,open_base:boolean,class_keywords:array<string>,name_start:int,name_end:int,full_start:int,full_end:int,{_PLACE},full_line:int>>,
 imports array<struct<seq:int,module:string,attr:string,level:int,kind:string,condition:string,start:int,end:int,{_PLACE}>>,
 aliases array<struct<name:string,module:string,attr:string,top:boolean>>, makers array<struct<name:string,callee:string>>, uses array<struct<name:string,start:int,end:int>>,
-strings array<struct<name:string,start:int,end:int,{_PLACE}>>, attr_names array<string>, attr_prefixes array<string>, param_names array<string>, path_literals array<string>, package_wide array<string>,
+strings array<struct<name:string,start:int,end:int,{_PLACE}>>, words array<struct<name:string,{_PLACE}>>, params array<struct<name:string,start:int,end:int>>, attr_names array<string>, attr_prefixes array<string>, param_names array<string>, path_literals array<string>, package_wide array<string>,
 metrics array<struct<name:string,owner:string,line:int,column:int,lines:int,parameters:int,cyclomatic:int,cognitive:int,max_nesting:int>>,
 tokens array<struct<kind:string,text:string,line:int,nesting:string>>, deletables array<struct<name:string,line:int,column:int,start:int,end:int,would_be_empty:boolean>>,
 suppressions array<struct<line:int,scope_kind:string,rules:array<string>>>"""
@@ -55,24 +55,30 @@ def _budget(seconds: int) -> Iterator[None]:
 
 
 def _scanner(root: str, marker: str):
-    lists = ("symbols", "imports", "aliases", "makers", "uses", "strings", "attr_names", "attr_prefixes", "param_names", "path_literals", "package_wide", "metrics", "tokens", "deletables", "suppressions")
+    lists = ("symbols", "imports", "aliases", "makers", "uses", "strings", "words", "params", "attr_names", "attr_prefixes", "param_names", "path_literals", "package_wide", "metrics", "tokens", "deletables", "suppressions")
 
     def one(path: str, text: str) -> dict:
         rel = path.removeprefix(root.rstrip("/") + "/") if root else path
         module = module_of(rel)
         row: dict = {"path": path, "rel_path": rel, "module": module, "text": text, "exports": [], "main_guard": False, "reads_globals": False, "resolution": "semantic"}
+        package, began = rel.endswith("/__init__.py") or rel in ("__init__.py", "__init__.pyi"), time.perf_counter()
         try:
             with _budget(FILE_BUDGET):
-                s = Scan(text, module, rel.endswith("/__init__.py") or rel in ("__init__.py", "__init__.pyi"), tuple(RULES), marker)
+                s = Scan(text, module, package, tuple(RULES), marker)
             row |= {"exports": s.exports, "main_guard": s.main_guard, "reads_globals": s.reads_globals, **s.facts}
             row["metrics"] = [m.__dict__ for m in s.metrics]
             row["tokens"] = [dict(zip(("kind", "text", "line", "nesting"), t, strict=True)) for t in s.tokens]
             row["deletables"] = [dict(zip(("name", "line", "column", "start", "end", "would_be_empty"), d, strict=True)) for d in s.deletables]
             row["suppressions"] = [{"line": a, "scope_kind": b, "rules": c} for a, b, c in s.suppressions]
-        except TimeoutError:
-            row["resolution"] = "abandoned"
-        except (SyntaxError, ValueError, RecursionError, IndexError):
-            row["resolution"] = "unparsed"
+        except (TimeoutError, SyntaxError, ValueError, RecursionError, IndexError) as e:
+            # What a file names stays in use even where its structure cannot be had.
+            row["resolution"] = "by-name" if isinstance(e, TimeoutError) else "unparsed"
+            try:
+                with _budget(FILE_BUDGET):
+                    row |= names_only(text, module, package)
+            except TimeoutError:
+                row["resolution"] = "abandoned"
+        row["seconds"] = time.perf_counter() - began
         for k in lists:
             row.setdefault(k, [])
         return row
@@ -151,6 +157,7 @@ def project_facts(sources: DataFrame, root: str = "", config: Config | None = No
         "ancestry": lambda: inheritance()[0], "overrides": lambda: inheritance()[1], "registered": lambda: inheritance()[2],
         "attr_names": _net(rows, extra_names), "attr_prefixes": words("attr_prefixes", "prefix"), "param_names": words("param_names", "name"), "path_literals": words("path_literals", "literal"),
         "suppressions": listed("suppressions"), "function_metrics": listed("metrics"), "tokens": listed("tokens"), "deletables": listed("deletables"), "sources": rows.select("file_id", "text"),
+        "resolutions": rows.select("file_id", "path", "resolution", "seconds"),
     }
     return FactSet(rows.sparkSession, tables)
 
@@ -182,8 +189,8 @@ def _resolve(rows: DataFrame, symbols: DataFrame, aliases: DataFrame, modules: D
     classes = symbols.where("kind = 'class'").select("file_id", "ordinal", "name_start", "name_end", F.posexplode("bases").alias("pos", "base")).join(home, "file_id")
     based = classes.select("file_id", F.col("pos"), F.lit(0), F.col("ordinal"), "home", split("base"))
     state = uses.union(imported).union(said).union(based).distinct()
-    found, outside = None, None
-    for hop in range(MAX_HOPS):
+    found, outside, seen, hop = None, None, None, 0
+    while True:
         head, rest = F.col("chain")[0], F.slice("chain", 2, F.size("chain"))
         step = state.where(F.size("chain") > 0).withColumn("head", head).join(members, ["module", "head"], "left")
         hit = step.where("defs is not null").select("use_file", "use_start", "use_end", "cls", "def_file", F.explode("defs").alias("d"), "chain").select("use_file", "use_start", "use_end", "cls", "def_file", F.col("d.ordinal").alias("def_ordinal"), F.col("d.name_start").alias("def_start"), "chain")
@@ -197,17 +204,52 @@ def _resolve(rows: DataFrame, symbols: DataFrame, aliases: DataFrame, modules: D
         next_ = left.where(open_).select("use_file", "use_start", "use_end", "cls", "module", "chain", F.explode_outer(options).alias("n"))
         lost = next_.where("n is null and cls >= 0").select("use_file", "use_start", "cls", F.concat_ws(".", F.when(~F.col("module").startswith("#") & (F.col("module") != ""), F.col("module")), F.array_join("chain", ".")).alias("name"), (F.lit(hop) > 0).alias("imported"))
         state2 = next_.where("n is not null").select("use_file", "use_start", "use_end", "cls", "n.module", "n.chain").distinct()
-        hit, lost, state = cut(hit), cut(lost), cut(state2)
+        # Imports may lead in circles, so a state that was met before goes no further.
+        seen = cut(state) if seen is None else cut(seen.union(state))
+        hit, lost, state = cut(hit), cut(lost), cut(state2.join(seen, state2.columns, "left_anti"))
         found = hit if found is None else found.union(hit)
         outside = lost if outside is None else outside.union(lost)
-        if state.limit(1).count() == 0:
+        hop += 1
+        if state.isEmpty():
             break
-    refs = found.where("cls < 0").select("def_file", "def_start", "use_file", "use_start", "use_end").distinct()
+    refs = found.where("cls < 0").select("def_file", "def_start", "use_file", "use_start", "use_end").union(_fixtures(rows, symbols)).distinct()
+    refs = _implemented(refs, rows, symbols)
     inner = found.where("cls >= 0 and size(chain) = 1").select(F.col("use_file").alias("file_id"), F.col("cls").alias("ordinal"), F.col("def_file").alias("base_file"), F.col("def_ordinal").alias("base_ordinal"), F.lit(None).cast("string").alias("name"), F.lit(True).alias("known"))
     outer = outside.select(F.col("use_file").alias("file_id"), F.col("cls").alias("ordinal"), F.lit(None).cast("int").alias("base_file"), F.lit(None).cast("int").alias("base_ordinal"), "name", "imported")
     return refs, inner.union(outer).distinct()
 
 
+def _fixtures(rows: DataFrame, symbols: DataFrame) -> DataFrame:
+    """References of parameters of tests and fixtures to the fixture that they name: one of the same file, else that of the nearest conftest.py above."""
+    asked = _each(rows, "params", "rel_path").select(F.col("file_id").alias("use_file"), F.col("start").alias("use_start"), F.col("end").alias("use_end"), "name", C.parent_dir(F.col("rel_path")).alias("dir"))
+    is_fixture = F.exists("decorators", lambda d: C.last_segment(d["name"]) == "fixture")
+    own = symbols.where(F.col("kind").isin("function", "method") & is_fixture).join(rows.select("file_id", "rel_path"), "file_id")
+    own = own.select(F.col("file_id").alias("def_file"), F.col("name_start").alias("def_start"), "name", C.parent_dir(F.col("rel_path")).alias("def_dir"), (C.file_name(F.col("rel_path")) == "conftest.py").alias("shared"))
+    here = asked.join(own.drop("def_dir", "shared"), (F.col("use_file") == F.col("def_file")) & (asked["name"] == own["name"])).select("use_file", "use_start", "use_end", "def_file", "def_start", F.lit(1 << 20).alias("depth"))
+    # A directory lies below itself, those above it, and the root.
+    parts = F.split("dir", "/")
+    above = F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")))
+    up = asked.withColumn("def_dir", F.explode(F.array_distinct(above)))
+    there = up.join(own.where("shared").drop("shared"), ["def_dir", "name"]).select("use_file", "use_start", "use_end", "def_file", "def_start", F.length("def_dir").alias("depth"))
+    nearest = Window.partitionBy("use_file", "use_start").orderBy(F.desc("depth"))
+    every = here.union(there).withColumn("n", F.rank().over(nearest)).where("n = 1")
+    return every.select("def_file", "def_start", "use_file", "use_start", "use_end")
+
+
+def _implemented(refs: DataFrame, rows: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``refs`` with what is declared in a stub moved to the definition of that name in the file it stands for."""
+    stem = F.regexp_replace("path", r"\.pyi?$", "")
+    stubs = rows.where(F.col("path").endswith(".pyi")).select(F.col("file_id").alias("stub"), stem.alias("stem"))
+    pairs = stubs.join(rows.where(F.col("path").endswith(".py")).select(F.col("file_id").alias("real"), stem.alias("stem")), "stem")
+    if pairs.isEmpty():
+        return refs
+    real = symbols.groupBy(F.col("file_id").alias("real"), "name").agg(F.max_by("name_start", "ordinal").alias("real_start"))
+    declared = symbols.select(F.col("file_id").alias("stub"), F.col("name_start").alias("stub_start"), "name")
+    moved = pairs.join(declared, "stub").join(real, ["real", "name"]).select(F.col("stub").alias("def_file"), F.col("stub_start").alias("def_start"), "real", "real_start")
+    out = refs.join(moved, ["def_file", "def_start"], "left")
+    return out.select(F.coalesce("real", "def_file").alias("def_file"), F.coalesce("real_start", "def_start").alias("def_start"), "use_file", "use_start", "use_end").distinct()
+
+
 _STD = tuple(sorted(STDLIB - {"antigravity", "this", "idlelib", "turtledemo", "test", "__main__"}))
 
 
@@ -234,16 +276,16 @@ def _ancestry(symbols: DataFrame, bases: DataFrame) -> tuple[DataFrame, DataFram
     """(ancestry, overrides, registered) of classes and, by their class, of members."""
     classes = symbols.where("kind = 'class'").select("file_id", "ordinal", "qualified", F.coalesce("open_base", F.lit(False)).alias("open_base"))
     edges = bases.where("base_file is not null").select("file_id", "ordinal", "base_file", "base_ordinal").distinct().cache()
-    up = edges
-    front = edges
-    for _ in range(MAX_ANCESTORS):
-        step = front.select("file_id", "ordinal", F.col("base_file").alias("f"), F.col("base_ordinal").alias("o")).join(edges.toDF("f", "o", "base_file", "base_ordinal"), ["f", "o"]).select("file_id", "ordinal", "base_file", "base_ordinal").distinct()
+    front = edges.withColumn("level", F.lit(1))
+    up = front
+    while True:
+        step = front.select("file_id", "ordinal", "level", F.col("base_file").alias("f"), F.col("base_ordinal").alias("o")).join(edges.toDF("f", "o", "base_file", "base_ordinal"), ["f", "o"]).select("file_id", "ordinal", "base_file", "base_ordinal", (F.col("level") + 1).alias("level")).distinct()
         front = cut(step.join(up, ["file_id", "ordinal", "base_file", "base_ordinal"], "left_anti"))
-        if front.limit(1).count() == 0:
+        if front.isEmpty():
             break
         up = cut(up.union(front))
-    me = classes.select("file_id", "ordinal", F.col("file_id").alias("base_file"), F.col("ordinal").alias("base_ordinal"))
-    every = up.union(me).distinct()
+    me = classes.select("file_id", "ordinal", F.col("file_id").alias("base_file"), F.col("ordinal").alias("base_ordinal"), F.lit(0).alias("level"))
+    every = up.union(me).groupBy("file_id", "ordinal", "base_file", "base_ordinal").agg(F.min("level").alias("level"))
     outside = bases.where("base_file is null and name is not null").select(F.col("file_id").alias("base_file"), F.col("ordinal").alias("base_ordinal"), "name", "known")
     std = outside.select("name").distinct().mapInPandas(_stdlib_members, "name string, names array<string>, members array<string>").cache()
     far = every.join(outside, ["base_file", "base_ordinal"]).join(std, "name", "left")
@@ -255,7 +297,9 @@ def _ancestry_tables(symbols: DataFrame, classes: DataFrame, every: DataFrame, f
     names = classes.select(F.col("file_id").alias("base_file"), F.col("ordinal").alias("base_ordinal"), "qualified", F.col("open_base").alias("open"))
     near = every.join(names, ["base_file", "base_ordinal"])
     own = (F.col("file_id") == F.col("base_file")) & (F.col("ordinal") == F.col("base_ordinal"))
-    near = near.groupBy("file_id", "ordinal").agg(F.collect_set(F.when(~own, F.col("qualified"))).alias("near"), F.max("open").alias("open"))
+    # The nearest first; a walk up a hierarchy gives up after so many classes.
+    ranked = F.array_sort(F.collect_set(F.when(~own, F.struct("level", "qualified"))))
+    near = near.groupBy("file_id", "ordinal").agg(ranked["qualified"].alias("near"), F.max("open").alias("open"))
     a = near.join(far_names, ["file_id", "ordinal"], "left")
     of_class = a.select("file_id", "ordinal", (~F.col("open") & (F.coalesce("lost", F.lit(0)) == 0)).alias("complete"), F.slice(F.array_distinct(F.concat("near", F.coalesce("far", F.expr("cast(array() as array<string>)")))), 1, MAX_ANCESTORS).alias("names"))
     members = symbols.where("parent_ordinal is not null").select("file_id", "ordinal", "name", "parent_ordinal")
@@ -326,7 +370,11 @@ def _imports(rows: DataFrame, modules: DataFrame) -> DataFrame:
 def _external(rows: DataFrame, modules: DataFrame, distributions: DataFrame | None) -> DataFrame:
     """Absolute imports of what is neither standard nor the project's own, with the distributions that provide it."""
     own = modules.select(F.split("module", r"\.")[0].alias("top_level")).distinct()
-    i = rows.select("file_id", F.explode("imports").alias("i")).select("file_id", "i.*").where("level = 0").withColumn("top_level", F.split("module", r"\.")[0])
+    i = rows.select("file_id", F.explode("imports").alias("i")).select("file_id", "i.*").where("level = 0").select("file_id", "seq", "line", "column", "condition", F.split("module", r"\.")[0].alias("top_level"))
+    if distributions is not None:
+        # A distribution that a string names, as in a list of installed applications, is in use.
+        said = _each(rows, "words").unionByName(_each(rows, "strings").select("file_id", "name", "line", "column")).select("file_id", F.lit(1 << 22).alias("seq"), "line", "column", F.lit("always").alias("condition"), F.split("name", r"\.")[0].alias("top_level"))
+        i = i.union(said.where("length(top_level) >= 3").join(distributions.select("top_level"), "top_level", "left_semi").select(i.columns))
     i = i.where(~F.col("top_level").isin(*STDLIB) & ~F.col("top_level").startswith("__") & (F.col("top_level") != "")).join(own, "top_level", "left_anti")
     none = F.expr("cast(array() as array<string>)")
     if distributions is None:
@@ -335,3 +383,13 @@ def _external(rows: DataFrame, modules: DataFrame, distributions: DataFrame | No
         by = distributions.groupBy("top_level").agg(F.array_sort(F.collect_set("dist")).alias("distributions"))
         i = i.join(by, "top_level", "left").withColumn("origin", F.when(F.col("distributions").isNull(), "unresolved").otherwise("site-packages")).withColumn("distributions", F.coalesce("distributions", none))
     return i.select("file_id", "seq", "top_level", "line", "column", "origin", "distributions", "condition")
+
+
+def slowest(facts: FactSet) -> DataFrame:
+    """(path, seconds) of the file that took longest to scan."""
+    return facts.resolutions.agg(F.max(F.struct("seconds", "path")).alias("m")).where("m is not null").select("m.path", "m.seconds")
+
+
+def uses_by_definition(refs: DataFrame) -> DataFrame:
+    """(def_file, def_start, uses, files, first_file, first_start): references turned around. Counts and the first use stand for the list, so a definition that everything uses is one row."""
+    return refs.groupBy("def_file", "def_start").agg(F.count("*").alias("uses"), F.count_distinct("use_file").alias("files"), F.min(F.struct("use_file", "use_start")).alias("f")).select("def_file", "def_start", "uses", "files", F.col("f.use_file").alias("first_file"), F.col("f.use_start").alias("first_start"))

@@ -12,7 +12,7 @@ def spark():
 
     s = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.driver.memory", "4g")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").config("spark.sql.codegen.wholeStage", "false")
+        .config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
