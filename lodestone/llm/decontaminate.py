@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashed import numbered
+from .store import cut
 
 #: Everything that is no word once A-Z are lower case: ASCII but digits and a-z.
 NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -63,7 +64,7 @@ def find_hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_co
     each; an item found in a document counts once however often it occurs. Null
     item ids are not listed in items. An empty benchmark hits nothing.
     """
-    windows = benchmark_windows(bench, item_col, item_text, n).persist()
+    windows = cut(benchmark_windows(bench, item_col, item_text, n))
     size = windows.agg(F.count("*").alias("n"), F.count_distinct("anchor").alias("a"), F.collect_set("k").alias("k")).first()
     lengths = sorted(size.k) or [n]
     base = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(f"`{id_col}`").alias("id"), words(F.col(f"`{text_col}`")).alias("w"))
