@@ -3,6 +3,19 @@
 from __future__ import annotations
 
 import ast
+from collections.abc import Iterable
+from itertools import takewhile
+
+
+def _lines(text: str) -> list[str]:
+    """Lines with their line feeds; no last line that is empty."""
+    parts = text.split("\n")
+    return [*(p + "\n" for p in parts[:-1]), *([parts[-1]] if parts[-1] else [])]
+
+
+def _blank(lines: Iterable[str]) -> int:
+    """How many lines without anything visible come first."""
+    return sum(1 for _ in takewhile(lambda line: not line.strip(), lines))
 
 
 def remove_block(text: str, start: int, end: int) -> str:
@@ -10,24 +23,9 @@ def remove_block(text: str, start: int, end: int) -> str:
     raw = text.encode()
     if not 0 <= start <= end <= len(raw):
         return text
-    head, tail = raw[:start].decode(), raw[end:].decode()
-    if not tail.strip():
-        head = head.rstrip("\n \t")
-        return head + "\n" if head else ""
-    before = head.split("\n")
-    before = before[:-1] if head.endswith("\n") else before
-    gap = 0
-    for line in reversed(before):
-        if line.strip():
-            break
-        gap += 1
-    after = 0
-    for line in tail.split("\n")[:-1]:
-        if line.strip():
-            break
-        after += 1
-    lines = tail.split("\n")
-    return head + "\n".join(lines[min(gap, after) :])
+    above, below = _lines(raw[:start].decode()), _lines(raw[end:].decode())
+    gap, after = _blank(reversed(above)), _blank(below)
+    return "".join(above[: len(above) - gap]) if after == len(below) else "".join([*above, *below[min(gap, after) :]])
 
 
 def names_in(text: str) -> set[str]:

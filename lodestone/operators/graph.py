@@ -12,11 +12,10 @@ from ..storage import cut
 def _spread(edges: DataFrame, labels: DataFrame, name: str) -> DataFrame:
     """Least label that reaches each node along the edges (src to dst), to a fixpoint."""
     while True:
-        push = edges.join(labels, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), name)
-        new = cut(labels.union(push).groupBy("node").agg(F.min(name).alias(name)))
-        moved = new.join(labels.withColumnRenamed(name, "old"), "node").where(F.col(name) < F.col("old")).limit(1).count()
-        labels = new
-        if not moved:
+        push = edges.join(labels, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), name, F.lit(None).alias("old"))
+        new = cut(labels.select("node", name, F.col(name).alias("old")).union(push).groupBy("node").agg(F.min(name).alias(name), F.max("old").alias("old")))
+        labels = new.select("node", name)
+        if new.where(F.col(name) < F.col("old")).isEmpty():
             return labels
 
 
@@ -33,14 +32,15 @@ def strong_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> D
     e = cut(e.where("src <> dst"))
     found = None
     while True:
+        n = e.count()
         while True:
-            n = e.count()
             ins, outs = e.select(F.col("dst").alias("src")).distinct(), e.select(F.col("src").alias("dst")).distinct()
             e2 = cut(e.join(ins, "src", "left_semi").join(outs, "dst", "left_semi").select("src", "dst"))
-            shrunk, e = e2.count() < n, e2
-            if not shrunk:
+            left, e = e2.count(), e2
+            if left == n:
                 break
-        if e.limit(1).count() == 0:
+            n = left
+        if not n:
             break
         live = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
         color = _spread(e, live.withColumn("color", F.col("node")), "color")
@@ -68,7 +68,7 @@ def component_ranks(edges: DataFrame, components: DataFrame, src: str = "src", d
     while True:
         push = dag.join(ranks, F.col("a") == F.col("component")).select(F.col("b").alias("component"), (F.col("rank") + 1).alias("rank"))
         new = cut(ranks.union(push).groupBy("component").agg(F.max("rank").alias("rank")))
-        if not new.join(ranks.withColumnRenamed("rank", "old"), "component").where("rank > old").limit(1).count():
+        if new.join(ranks.withColumnRenamed("rank", "old"), "component").where("rank > old").isEmpty():
             return new
         ranks = new
 

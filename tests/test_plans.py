@@ -67,6 +67,15 @@ def test_cycles(spark):
     assert len(cycles.analyze(f, all_cycles=True).collect()) == 2
 
 
+def test_reach_stops_at_the_bound(spark):
+    """A root and the nearest others are visited, no more; what they point at is reached."""
+    e = [(0, k) for k in range(1, 6)] + [(k, 10 * k + j) for k in range(1, 6) for j in range(3)] + [(10, 0), (30, 99)]
+    edges, roots = spark.createDataFrame(e, "src int, dst int"), spark.createDataFrame([(0,), (98,)], "root int")
+    got = lambda most: {r.node for r in graph.reachable(edges, roots, most=most).collect()}
+    assert got(1) == {1, 2, 3, 4, 5} and got(3) == {1, 2, 3, 4, 5, 10, 11, 12, 20, 21, 22}
+    assert got(500) == {0, 99, *range(1, 6), *(10 * k + j for k in range(1, 6) for j in range(3))}
+
+
 def test_simple_cycles_stop():
     full = {k: [j for j in range(8) if j != k] for k in range(8)}
     got = graph.simple_cycles(full, 25)

@@ -5,7 +5,7 @@ import json
 
 import pytest
 
-from lodestone import cli, sinks
+from lodestone import cli, corpus, sinks
 from lodestone.facts import finding
 from lodestone.streaming.sources import write_scans
 
@@ -46,6 +46,20 @@ def test_command_line(spark, tmp_path):
     assert cli.main(["health", str(tmp_path)], spark, out) == 2
 
 
+def test_corpus(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "m.py").write_text(MAZE)
+    args = (spark, "p", str(tmp_path / "p"), str(tmp_path / "kept"), ("health",))
+    corpus.update(*args)
+    assert corpus.check(*args) == {}
+    kept = tmp_path / "kept" / "p" / "health.txt"
+    kept.write_text(kept.read_text().replace("maze", "haze"))
+    assert "-complex-function" in corpus.check(*args)["health"]
+    (tmp_path / "p" / "m.py").write_text(MAZE + "x = 1\n")
+    with pytest.raises(ValueError):
+        corpus.check(*args)
+
+
 def test_stream(spark, tmp_path):
     src = tmp_path / "src"
     src.mkdir()
