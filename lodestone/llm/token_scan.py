@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .store import new_path, stored, until_exit
+from .store import new_path, removed, stored
 
 #: Files of the public vocabulary, and the identifier that is free for the end of a document.
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -155,7 +155,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, file, ordinal, start, n_tokens): tokens of each row of ``docs``, counted from flat files.
 
     The files are written to the shared folder, read in ranges of ``block``
-    tokens and go with the driver. A null text counts as empty and has no token;
+    tokens and removed once they are scanned. A null text counts as empty and has no token;
     rows that repeat are counted each; other columns are ignored; an empty table
     gives an empty result.
     """
@@ -164,10 +164,11 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = stored(write_token_files(docs, folder, id_col, text_col, **options))
     if names.isEmpty():
         return names.select(F.col("id").alias("doc_id"), "file", "ordinal", F.col("ordinal").alias("start"), F.col("ordinal").alias("n_tokens"))
-    until_exit(spark, folder)
     blocks = read_token_files(spark, folder, block=block).withColumn("file", F.element_at(F.split("file", "/"), -1))
     written = names.select("file").distinct()
+    # The scan has read the files when it returns.
     scanned = scan_blocks(blocks.join(written, "file", "left_semi"))
+    removed(spark, folder)
     counted = scanned.select("file", "first_ordinal", F.posexplode(F.arrays_zip("ends", "n_tokens")).alias("k", "d"))
     counted = counted.select("file", (F.col("first_ordinal") + F.col("k")).alias("ordinal"), (F.col("d.ends") - F.col("d.n_tokens")).alias("start"), F.col("d.n_tokens").alias("n_tokens"))
     return counted.join(names, ["file", "ordinal"]).select(F.col("id").alias("doc_id"), "file", "ordinal", "start", "n_tokens")
