@@ -11,6 +11,7 @@ from ..config import Config
 from ..facts import FactSet, finding
 from ..functions import columns as C
 from ..operators import graph, joins
+from ..storage import cut
 from . import rules
 from .rules import base as B
 from .rules.places import ROOT_FILES, in_root_directory, tool_config
@@ -50,7 +51,13 @@ def settings_files(facts: FactSet) -> DataFrame:
 
 
 def file_roles(facts: FactSet) -> DataFrame:
-    """(file_id, role): the first role that fits; files without one are left out."""
+    """(file_id, role): the first role that fits; files without one are left out. Found once for a set of facts."""
+    if "_roles" not in vars(facts):
+        facts._roles = cut(_file_roles(facts))
+    return facts._roles
+
+
+def _file_roles(facts: FactSet) -> DataFrame:
     files = facts.files.where("reported").select("file_id", "rel_path", "module")
     rel = F.col("rel_path")
     parent, grand = C.parent_dir(rel), C.parent_dir(C.parent_dir(rel))

@@ -188,14 +188,14 @@ def _resolve(rows: DataFrame, symbols: DataFrame, aliases: DataFrame, modules: D
     said = _each(rows, "strings").select("file_id", "start", "end", F.lit(-1), F.lit(""), split("name"))
     classes = symbols.where("kind = 'class'").select("file_id", "ordinal", "name_start", "name_end", F.posexplode("bases").alias("pos", "base")).join(home, "file_id")
     based = classes.select("file_id", F.col("pos"), F.lit(0), F.col("ordinal"), "home", split("base"))
-    state = uses.union(imported).union(said).union(based).distinct()
+    state = cut(uses.union(imported).union(said).union(based).distinct())
     found, outside, seen, hop = None, None, None, 0
     while True:
         head, rest = F.col("chain")[0], F.slice("chain", 2, F.size("chain"))
         step = state.where(F.size("chain") > 0).withColumn("head", head).join(members, ["module", "head"], "left")
-        hit = step.where("defs is not null").select("use_file", "use_start", "use_end", "cls", "def_file", F.explode("defs").alias("d"), "chain").select("use_file", "use_start", "use_end", "cls", "def_file", F.col("d.ordinal").alias("def_ordinal"), F.col("d.name_start").alias("def_start"), "chain")
         # A name that is both defined and imported in a module may mean either.
-        left = step.drop("def_file").withColumn("sub", F.when(F.col("module") == "", head).otherwise(F.concat_ws(".", "module", "head"))).join(known, "sub", "left").join(links, ["module", "head"], "left").join(wild, "module", "left")
+        left = cut(step.withColumn("sub", F.when(F.col("module") == "", head).otherwise(F.concat_ws(".", "module", "head"))).join(known, "sub", "left").join(links, ["module", "head"], "left").join(wild, "module", "left"))
+        hit = left.where("defs is not null").select("use_file", "use_start", "use_end", "cls", "def_file", F.explode("defs").alias("d"), "chain").select("use_file", "use_start", "use_end", "cls", "def_file", F.col("d.ordinal").alias("def_ordinal"), F.col("d.name_start").alias("def_start"), "chain")
         open_ = F.col("defs").isNull() | F.col("l_to").isNotNull()
         sub_to = F.when(F.col("is_module"), F.struct(F.col("sub").alias("module"), rest.alias("chain")))
         link_to = F.when(F.col("l_to").isNotNull(), F.struct(F.col("l_to").alias("module"), F.when(F.col("attr").isNull(), rest).otherwise(F.concat(F.array("attr"), rest)).alias("chain")))
@@ -205,8 +205,8 @@ def _resolve(rows: DataFrame, symbols: DataFrame, aliases: DataFrame, modules: D
         lost = next_.where("n is null and cls >= 0").select("use_file", "use_start", "cls", F.concat_ws(".", F.when(~F.col("module").startswith("#") & (F.col("module") != ""), F.col("module")), F.array_join("chain", ".")).alias("name"), (F.lit(hop) > 0).alias("imported"))
         state2 = next_.where("n is not null").select("use_file", "use_start", "use_end", "cls", "n.module", "n.chain").distinct()
         # Imports may lead in circles, so a state that was met before goes no further.
-        seen = cut(state) if seen is None else cut(seen.union(state))
-        hit, lost, state = cut(hit), cut(lost), cut(state2.join(seen, state2.columns, "left_anti"))
+        seen = state if seen is None else seen.union(state)
+        state = cut(state2.join(seen, state2.columns, "left_anti"))
         found = hit if found is None else found.union(hit)
         outside = lost if outside is None else outside.union(lost)
         hop += 1
