@@ -103,9 +103,12 @@ def _range_reader(step: int, width: int):
     return run
 
 
-def read_token_files(spark: SparkSession, path: str, width: int = 2, block: int = 1 << 20) -> DataFrame:
-    """(file, block, tokens) of files of little-endian identifiers of ``width`` bytes. Spark lists the files; each range is read by itself. Bytes after the last whole identifier are left out."""
+def read_token_files(spark: SparkSession, path: str, width: int = 2, block: int = 1 << 20, names: DataFrame | None = None) -> DataFrame:
+    """(file, block, tokens) of files of little-endian identifiers of ``width`` bytes. Spark lists the files; each range is read by itself. Bytes after the last whole identifier are left out. With ``names`` (file) only files of these names are read."""
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length").where(F.col("length") >= width)
+    if names is not None:
+        # Before anything is read, so that no tokens are shuffled.
+        files = files.join(names.select(F.col("file").alias("name")).distinct(), F.element_at(F.split("file", "/"), -1) == F.col("name"), "left_semi")
     step = block * width
     last = F.floor((F.col("length") - 1) / step).cast("bigint")
     ranges = files.select("file", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("block"))
@@ -164,10 +167,9 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = stored(write_token_files(docs, folder, id_col, text_col, **options))
     if names.isEmpty():
         return names.select(F.col("id").alias("doc_id"), "file", "ordinal", F.col("ordinal").alias("start"), F.col("ordinal").alias("n_tokens"))
-    blocks = read_token_files(spark, folder, block=block).withColumn("file", F.element_at(F.split("file", "/"), -1))
-    written = names.select("file").distinct()
+    blocks = read_token_files(spark, folder, block=block, names=names).withColumn("file", F.element_at(F.split("file", "/"), -1))
     # The scan has read the files when it returns.
-    scanned = scan_blocks(blocks.join(written, "file", "left_semi"))
+    scanned = scan_blocks(blocks)
     removed(spark, folder)
     counted = scanned.select("file", "first_ordinal", F.posexplode(F.arrays_zip("ends", "n_tokens")).alias("k", "d"))
     counted = counted.select("file", (F.col("first_ordinal") + F.col("k")).alias("ordinal"), (F.col("d.ends") - F.col("d.n_tokens")).alias("start"), F.col("d.n_tokens").alias("n_tokens"))
