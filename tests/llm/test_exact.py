@@ -226,6 +226,49 @@ def test_repeated_ids_do_not_depend_on_partitions(spark):
     assert (models[0].weights == models[1].weights).all() and models[0].cut == models[1].cut
 
 
+def test_quality_learns_from_every_labelled_row_and_pair(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    n = 26_000  # over 20,000 of them outside the held-out fold
+    good = rng.random(n) < 0.8
+    texts = [" ".join(rng.choice(["ri", "stover", "AM", "quine", "ber!", "###", "a|b"], rng.integers(1, 12), p=[0.3, 0.25, 0.1, 0.2, 0.05, 0.05, 0.05] if g else [0.15, 0.1, 0.2, 0.1, 0.15, 0.15, 0.15])) for g in good]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], DOCS)
+    labels = spark.createDataFrame([(k, int(g), 0) for k, g in enumerate(good)], "doc_id bigint, quality int, toxic int")
+    monkeypatch.setattr(ranking, "BLOCK", 4096)
+    model = ranking.fit(docs, labels)
+    train = np.array([crc(k, 5) != 0 for k in range(n)])
+    assert train.sum() > 20_000
+    data = [t.encode() for t, m in zip(texts, train, strict=True) if m]
+    raw = ranking.raw_features(np.concatenate([[0], np.cumsum([len(t) for t in data])]), np.frombuffer(b"".join(data), np.uint8))
+    y = good[train]
+    assert np.allclose(model.mean, raw.mean(axis=0), rtol=1e-9) and np.allclose(model.spread, np.where(raw.std(axis=0) > 1e-9, raw.std(axis=0), 1))
+    qs = np.linspace(0.02, 0.98, ranking.STEPS)
+    assert np.allclose(model.edges, np.concatenate([np.quantile(raw[m], qs, axis=0) for m in (y, ~y)]).T, rtol=1e-12)
+    # At the least loss over all pairs its gradient is none.
+    x = model.expand(raw)
+    s = x @ model.weights
+    pull, push = np.zeros(y.sum()), np.zeros((~y).sum())
+    for a in range(0, len(pull), 1000):
+        part = 1 / (1 + np.exp(s[y][a : a + 1000, None] - s[~y][None]))
+        pull[a : a + 1000] = part.mean(axis=1)
+        push += part.sum(axis=0) / len(pull)
+    gradient = push @ x[~y] / len(push) - pull @ x[y] / len(pull) + 2e-4 * model.weights
+    assert np.abs(gradient).max() < 1e-5
+    ranked, k = np.sort(s), (~y).mean() * len(y)
+    near = ranked[int(k - 0.01 * len(y)) - 1 : int(k + 0.01 * len(y)) + 3]
+    at = np.diff(near).argmax()
+    assert abs(model.cut - (near[at] + near[at + 1]) / 2) < 1e-9
+    assert abs(model.scale * (np.quantile(s, 0.9) - np.quantile(s, 0.02)) - 8) < 1e-9
+
+
+def test_order_statistics_are_those_of_the_sorted_values():
+    rng = np.random.default_rng(2)
+    values = np.concatenate([rng.normal(size=500), rng.integers(-3, 3, 400), [0.0, -0.0, 1e-310, -1e-310, 1e300, -1e300, np.inf, -np.inf]])
+    parts = np.array_split(rng.permutation(values), 5)
+    sweep = lambda work, add=False: sum(got) if (got := [work(None, p) for p in parts]) and add else got
+    for bits in (8, 16):
+        assert (ranking.order_statistics(sweep, lambda _, p: [p], np.arange(len(values))[None, ::9], bits) == np.sort(values)[None, ::9]).all()
+
+
 def test_verdicts_on_lines_are_the_plain_best_paths(given):
     docs, _ = given
     w, tr = line_crf.train()
