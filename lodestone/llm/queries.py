@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing
+from . import decontaminate, filter_audit, mixing, product_codes
 from .store import stored, table
 
 
@@ -68,11 +68,31 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_lines(table(spark, sf_dir, "documents")).drop("content_lines")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_piece_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .piece_codes import decode_ids, digest, encode_texts
+
+    return digest(decode_ids(encode_texts(table(spark, sf_dir, "documents"))))
+
+
+def op13_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return product_codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard, op2_source_mixing, op3_toxicity, op4_quality_ranking, op5_html_blocks, op6_suffix_dedup, op7_decontamination, op8_token_counts, op9_personal_data, op10_line_rules)
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard, op2_source_mixing, op3_toxicity, op4_quality_ranking, op5_html_blocks, op6_suffix_dedup, op7_decontamination, op8_token_counts, op9_personal_data, op10_line_rules,
+        op11_filter_audit, op12_piece_codes, op13_product_codes,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_source_mixing": mixing.SQL.format(docs="documents"),
     "op7_decontamination": decontaminate.SQL.format(docs="documents"),
+    "op11_filter_audit": filter_audit.SQL.format(docs="documents", labels="labels"),
+    "op13_product_codes": product_codes.SQL.format(vectors="embeddings"),
 }
