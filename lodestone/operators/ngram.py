@@ -1,125 +1,54 @@
-"""Token windows and clones: what repeats, how far, and who reports it."""
+"""Token windows: hashes of all runs of a length, and which of them repeat."""
 
 from __future__ import annotations
 
-from collections import defaultdict
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import strong_components
+
+def hashed(streams: DataFrame, tokens: str) -> DataFrame:
+    """``streams`` with ha and hb: two 64-bit hashes of every token of an array."""
+    return streams.withColumn("ha", F.transform(tokens, lambda t: F.xxhash64(t))).withColumn("hb", F.transform(tokens, lambda t: F.xxhash64(F.lit(1), t)))
+
+
+def doubled(streams: DataFrame, step: int, a: str = "ha", b: str = "hb", to_a: str = "ha", to_b: str = "hb") -> DataFrame:
+    """``streams`` with the hashes of all runs of 2 * ``step`` tokens, from those of ``step`` tokens; streams without one have none."""
+    at = F.when(F.size(a) > step, F.sequence(F.lit(0), F.size(a) - (step + 1))).otherwise(F.expr("cast(array() as array<int>)"))
+
+    def join(h: str) -> Column:
+        return F.transform(at, lambda i: F.xxhash64(F.get(h, i), F.get(h, i + step)))
+
+    return streams.select(*(c for c in streams.columns if c not in (to_a, to_b)), join(a).alias(to_a), join(b).alias(to_b))
 
 
 def windows(streams: DataFrame, stream: str, tokens: str, size: int, stated: str | None = None) -> DataFrame:
     """(stream, at, key): every run of ``size`` tokens of an array, by position from 0 and 128-bit key. With ``stated``, a parallel array of flags, only runs that hold a true one."""
-    # Every token is hashed once; a window is the hash of its tokens' hashes.
-    streams = streams.where(F.size(tokens) >= size).withColumn("__h", F.transform(tokens, lambda t: F.struct(F.xxhash64(t).alias("a"), F.xxhash64(F.lit(1), t).alias("b"))))
-    at = F.sequence(F.lit(1), F.size(tokens) - (size - 1))
+    # Hashes of runs of 1, 2, 4, ... tokens; a window is made of one for each bit of its size, so a longer window costs no more for each place.
+    kept = [stream, *([stated] if stated else [])]
+    rows = hashed(streams.where(F.size(tokens) >= size).select(*kept, F.col(tokens).alias("__t")), "__t").select(*kept, F.col("ha").alias("__a0"), F.col("hb").alias("__b0"))
+    top = size.bit_length() - 1
+    for k in range(top):
+        rows = doubled(rows, 1 << k, f"__a{k}", f"__b{k}", f"__a{k + 1}", f"__b{k + 1}")
+    parts, done = [], 0
+    for k in range(top, -1, -1):
+        if size >> k & 1:
+            parts.append((k, done))
+            done += 1 << k
+    at = F.sequence(F.lit(0), F.size("__a0") - size)
     if stated is not None:
-        at = F.filter(at, lambda i: F.array_contains(F.slice(F.col(stated), i, size), True))
+        # How many flags are set before each place would need a running sum; the next set one at or after it is as good.
+        rows = rows.withColumn("__set", F.filter(F.transform(stated, lambda f, i: F.when(f, i)), lambda i: i.isNotNull()))
+        near = F.flatten(F.transform("__set", lambda i, j: F.sequence(F.greatest(i - (size - 1), F.when(j > 0, F.get("__set", j - 1) + 1).otherwise(0)), i)))
+        at = F.filter(near, lambda i: i <= F.size("__a0") - size)
+        rows = rows.where(F.size("__set") > 0)
 
     def window(i: Column) -> Column:
-        part = F.slice("__h", i, size)
-        return F.struct((i - 1).alias("at"), F.xxhash64(part["a"]).alias("k1"), F.xxhash64(part["b"]).alias("k2"))
+        return F.struct(i.alias("at"), F.xxhash64(*(F.get(f"__a{k}", i + o) for k, o in parts)).alias("k1"), F.xxhash64(*(F.get(f"__b{k}", i + o) for k, o in parts)).alias("k2"))
 
-    rows = streams.select(stream, F.explode(F.transform(at, window)).alias("w"))
-    return rows.select(stream, F.col("w.at").alias("at"), F.struct("w.k1", "w.k2").alias("key"))
+    out = rows.select(stream, F.explode(F.transform(at, window)).alias("w"))
+    return out.select(stream, F.col("w.at").alias("at"), F.struct("w.k1", "w.k2").alias("key"))
 
 
 def in_band(found: DataFrame, low: int = 2, high: int = 64) -> DataFrame:
     """Keys that occur ``low`` to ``high`` times, with their count: rarer ones repeat nothing, commoner ones are tables."""
     return found.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n").between(low, high))
-
-
-def tile(streams: dict[int, list[tuple[str, int, bool]]], size: int, min_lines: int, strict: bool, low: int = 2, high: int = 64, admitted: dict[int, list[int]] | None = None) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Clones as (length in tokens, occurrences as (stream, at)).
-
-    ``admitted`` gives the starts of windows that may pair, where the caller has
-    counted them over more streams than these. Windows of ``size`` tokens that occur ``low`` to ``high`` times are paired and
-    grown to the right as far as both agree. Longest first, a pair whose places
-    are both free becomes a clone; a pair with one free place joins a clone of
-    its length that holds the other place; what overlaps is dropped.
-    """
-    text = {s: [t[0] for t in toks] for s, toks in streams.items()}
-    seen: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
-    for s in sorted(streams):
-        toks = streams[s]
-        stated = [0]
-        for t in toks:
-            stated.append(stated[-1] + t[2])
-        for i in range(len(toks) - size + 1) if admitted is None else sorted(admitted.get(s, ())):
-            if admitted is not None or strict or stated[i + size] > stated[i]:
-                seen[tuple(text[s][i : i + size])].append((s, i))
-    pairs = []
-    for places in seen.values():
-        if admitted is None and not low <= len(places) <= high:
-            continue
-        for x in range(len(places)):
-            for y in range(x + 1, len(places)):
-                (sa, a), (sb, b) = places[x], places[y]
-                ta, tb = text[sa], text[sb]
-                n, most = size, min(len(ta) - a, len(tb) - b)
-                while n < most and ta[a + n] == tb[b + n]:
-                    n += 1
-                if sa != sb or b >= a + n:
-                    pairs.append((-n, (sa, a), (sb, b)))
-    pairs.sort()
-    taken: dict[int, bytearray] = {s: bytearray(len(t)) for s, t in streams.items()}
-    clones: list[tuple[int, list[tuple[int, int]]]] = []
-    holders: dict[tuple[int, int, int], int] = {}
-
-    def free(p: tuple[int, int], n: int) -> bool:
-        return not any(taken[p[0]][p[1] : p[1] + n])
-
-    def claim(p: tuple[int, int], n: int) -> None:
-        taken[p[0]][p[1] : p[1] + n] = b"\x01" * n
-
-    for neg, a, b in pairs:
-        n = -neg
-        toks = streams[a[0]]
-        if toks[a[1] + n - 1][1] - toks[a[1]][1] + 1 < min_lines:
-            continue
-        fa, fb = free(a, n), free(b, n)
-        if fa and fb:
-            claim(a, n)
-            claim(b, n)
-            holders[(n, *a)] = holders[(n, *b)] = len(clones)
-            clones.append((n, [a, b]))
-        elif fa != fb:
-            new, old = (a, b) if fa else (b, a)
-            k = holders.get((n, *old))
-            if k is not None:
-                claim(new, n)
-                clones[k][1].append(new)
-                holders[(n, *new)] = k
-    return [(n, sorted(places)) for n, places in clones]
-
-
-def clones(tokens: DataFrame, size: int = 50, min_lines: int = 5, strict: bool = False, low: int = 2, high: int = 64) -> DataFrame:
-    """(clone, length, stream, at, start_line, end_line) of tokens (file_id, seq, text, line, nesting).
-
-    Only streams that share an admissible window meet: they are tied to the least
-    stream of each window in the band, and every class of tied streams is tiled
-    by itself, since claims never leave a stream.
-    """
-    stated = F.col("nesting") == "statement"
-    per_file = tokens.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("seq", "text", "line", stated.alias("stated")))).alias("t"))
-    arrays = per_file.select("file_id", F.col("t.text").alias("text"), F.col("t.stated").alias("stated"))
-    found = windows(arrays, "file_id", "text", size, None if strict else "stated")
-    admitted = found.join(in_band(found, low, high).select("key"), "key")
-    ties = admitted.groupBy("key").agg(F.min("file_id").alias("hub"), F.collect_set("file_id").alias("files"))
-    edges = ties.select("hub", F.explode("files").alias("file"))
-    classes = strong_components(edges.select(F.col("hub").alias("src"), F.col("file").alias("dst")).union(edges.select("file", "hub")))
-    starts = admitted.groupBy("file_id").agg(F.collect_list("at").alias("starts"))
-    rows = per_file.join(classes.select(F.col("node").alias("file_id"), "component"), "file_id").join(starts, "file_id")
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        streams = {int(s): [(x["text"], int(x["line"]), bool(x["stated"])) for x in t] for s, t in zip(pdf["file_id"], pdf["t"], strict=True)}
-        allowed = {int(s): [int(i) for i in at] for s, at in zip(pdf["file_id"], pdf["starts"], strict=True)}
-        out = []
-        for k, (n, places) in enumerate(tile(streams, size, min_lines, strict, low, high, allowed)):
-            out += [(int(pdf["component"].iloc[0]), k, n, s, a, streams[s][a][1], streams[s][a + n - 1][1]) for s, a in places]
-        return pd.DataFrame(out, columns=["component", "clone", "length", "file_id", "at", "start_line", "end_line"])
-
-    return rows.groupBy("component").applyInPandas(solve, "component int, clone int, length int, file_id int, at int, start_line int, end_line int")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..facts import FactSet, finding
 from ..functions import columns as C
-from ..operators import ngram
+from ..operators import clones
 from .dead_code import ordered
 
 MIN_TOKENS, MIN_LINES = 50, 5
@@ -35,12 +35,12 @@ def token_text(mode: str) -> Column:
 def analyze(facts: FactSet, mode: str = "mild", min_tokens: int = MIN_TOKENS, min_lines: int = MIN_LINES) -> Duplication:
     files = facts.files.where("reported").select("file_id", "path", "module")
     tokens = facts.tokens.join(files.select("file_id"), "file_id", "left_semi").select("file_id", "seq", token_text(mode).alias("text"), "line", "nesting")
-    places = ngram.clones(tokens, min_tokens, min_lines, strict=mode == "strict").join(files, "file_id").persist()
-    w = Window.partitionBy("component", "clone").orderBy("file_id", "at")
+    places = clones.clones(tokens, min_tokens, min_lines, strict=mode == "strict").join(files, "file_id").persist()
+    w = Window.partitionBy("clone").orderBy("file_id", "at")
     p = places.withColumn("k", F.row_number().over(w) - 1)
     shown = F.concat(F.coalesce("module", "path"), F.lit(":"), F.col("start_line"))
     other = F.struct("path", "module", F.col("start_line").alias("line"), F.lit(1).alias("column"), "end_line")
-    g = p.groupBy("component", "clone", "length").agg(F.array_sort(F.collect_list(F.struct("k", shown.alias("shown"), other.alias("o")))).alias("c"))
+    g = p.groupBy("clone", "length").agg(F.array_sort(F.collect_list(F.struct("k", shown.alias("shown"), other.alias("o")))).alias("c"))
     head, rest = F.col("c")[0]["o"], F.slice("c", 2, F.size("c"))
     lines = head["end_line"] - head["line"] + 1
     where = F.array_join(rest["shown"], ", ")
@@ -56,6 +56,6 @@ def analyze(facts: FactSet, mode: str = "mild", min_tokens: int = MIN_TOKENS, mi
     covered = places.withColumn("before", before).select(F.greatest(F.col("end_line") - F.greatest(F.col("start_line") - 1, F.coalesce("before", F.lit(0))), F.lit(0)).alias("n"))
     total = tokens.groupBy("file_id").agg(F.max_by("line", "seq").alias("last")).agg(F.coalesce(F.sum("last"), F.lit(0)).alias("total_lines"))
     dup = covered.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("duplicated_lines"))
-    count = places.select("component", "clone").distinct().agg(F.count("*").alias("clones"))
+    count = places.select("clone").distinct().agg(F.count("*").alias("clones"))
     summary = total.crossJoin(dup).crossJoin(count).withColumn("tenths_percent", C.tenths(F.col("duplicated_lines"), F.col("total_lines")))
     return Duplication(ordered(finding(rows)), summary)

@@ -5,10 +5,12 @@ import pytest
 from lodestone import examples
 from lodestone.config import Boundaries, Config, DenyRule, Limits
 from lodestone.facts import FactSet
-from lodestone.operators import graph, joins, lifecycle, ngram
+from lodestone.operators import graph, joins, lifecycle
 from lodestone.plans import boundaries, cycles, dead_code, deps, health
 from lodestone.queries import ORACLE_SQL, QUERIES
 
+from . import plain
+
 
 def file(k, path, **more):
     module = path.removesuffix(".py").replace("/__init__", "").replace("/", ".")
@@ -116,7 +118,7 @@ def stream(*parts):
     ],
 )
 def test_tiling(streams, size, lines, expected):
-    assert ngram.tile(streams, size, lines, strict=False) == expected
+    assert plain.tile(streams, size, lines, strict=False) == expected
 
 
 def test_boundaries(spark):
