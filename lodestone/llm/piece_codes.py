@@ -2,23 +2,21 @@
 
 A merge-type model joins the neighbouring pieces of best score until none can be
 joined. The same result is found from left to right: an Aho-Corasick automaton
-over the pieces gives every piece that starts at every place; the longest is
-tried first and stands if its predecessor and it are what the two would be merged
-to when encoded together. If no piece stands, the last one is taken back and a
-shorter one is tried; a bit for each place marks those from which no way led on,
-so no place fails twice. Whether a pair stands is found by merging its text once
-and kept.
-
-A model whose pieces hold a space at their beginning only cannot join across the
-beginning of a run of spaces, so such runs cut a text into stretches that are
-encoded by themselves, and a stretch that was met before is looked up.
+over the pieces gives the longest piece that starts at every place; it is tried
+first and stands if its predecessor and it are what the two would be merged to
+when encoded together. Otherwise the next shorter piece is tried, and if none
+stands, the last one is taken back; a bit for each place marks those from which
+no way led on, so no place fails twice. Whether a pair stands is found by merging
+its text once and kept.
+
+Two characters that no piece holds side by side are never joined across, so a
+text is cut there into stretches that are encoded by themselves, and a stretch
+that was met before is looked up.
 """
 
 from __future__ import annotations
 
 import heapq
-import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,11 +31,11 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: How the format writes a space (fixed value).
 SPACE = "▁"
 #: Stretches and pairs that are remembered by a process; both start anew beyond it.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: Longer stretches are not remembered.
 LONG = 64
 #: Characters that are cut into stretches at once.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 
 # Kinds of pieces in a model file (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -60,18 +58,29 @@ class Model:
             raise ValueError("only models without character maps, white space removal and pieces of the user are known")
         self.prefix = SPACE if rules.add_dummy_prefix else ""
         self.end = spec.trainer_spec.eos_id
-        self.score = {p.piece: p.score for p in spec.pieces if p.type == NORMAL}
+        self.piece = [p.piece for p in spec.pieces]
+        self.size = [len(p) for p in self.piece]
         self.id = {p.piece: k for k, p in enumerate(spec.pieces) if p.type == NORMAL}
+        self.score = {p.piece: p.score for p in spec.pieces if p.type == NORMAL}
         self.byte = {int(p.piece[3:5], 16): k for k, p in enumerate(spec.pieces) if p.type == BYTE}
+        letters = sorted({c for p in self.id for c in p})
+        if any(c not in self.id for c in letters):
+            raise ValueError("only models whose characters are pieces are known")
         self.automaton = ahocorasick.Automaton()
-        for piece in self.score:
-            self.automaton.add_word(piece, len(piece))
+        self.shorter = [-1] * len(self.piece)
+        for p, k in self.id.items():
+            self.automaton.add_word(p, k)
+            self.shorter[k] = next((self.id[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in self.id), -1)
         self.automaton.make_automaton()
-        apart = all(SPACE not in piece.lstrip(SPACE) for piece in self.score)
-        self.stretch = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if apart else "(?s:.+)")
-        self.seam = re.compile(f"[^{SPACE}]{SPACE}") if apart else None
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        # A bit for each two letters that some piece holds side by side; letter 0 is any other character.
+        self.letter = np.zeros(0x110000, np.uint16)
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.letters = len(letters) + 1
+        near = np.zeros(self.letters * self.letters, bool)
+        near[[int(self.letter[ord(x)]) * self.letters + int(self.letter[ord(y)]) for p in self.id for x, y in zip(p, p[1:])]] = True
+        self.near = np.packbits(near, bitorder="little")
+        self.known: dict[str, bytes] = {}
+        self.pairs: dict[int, bool] = {}
         # What each id stands for: nothing for control pieces, bytes for byte pieces.
         self.text = [b"" if p.type == CONTROL else bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else p.piece.replace(SPACE, " ").encode() for p in spec.pieces]
         if spec.trainer_spec.unk_id >= 0:
@@ -108,89 +117,89 @@ class Model:
             offer(a, right[a])
         return [p for p in piece if p is not None]
 
-    def stands(self, last: str, piece: str) -> bool:
-        """Whether encoding the two together gives the two; an empty ``last`` is the beginning."""
-        pair = (last, piece)
-        got = self.pairs.get(pair)
-        if got is None:
-            if len(self.pairs) >= REMEMBERED:
-                self.pairs.clear()
-            got = self.pairs[pair] = self.merged(last + piece) == ([last, piece] if last else [piece])
+    def stands(self, last: int, k: int) -> bool:
+        """Whether encoding the two pieces together gives the two; -1 for ``last`` is the beginning."""
+        if len(self.pairs) >= REMEMBERED:
+            self.pairs.clear()
+        pair = [self.piece[k]] if last < 0 else [self.piece[last], self.piece[k]]
+        got = self.pairs[last << 32 | k] = self.merged("".join(pair)) == pair
         return got
 
-    def pieces(self, text: str) -> list[str]:
-        """The pieces of ``text`` by backtracking; a character that is no piece stands for itself."""
-        n = len(text)
-        # Lengths of the pieces that start at each place, ascending.
-        starts: list[list[int] | None] = [None] * n
-        for stop, size in self.automaton.iter(text):
-            at = stop - size + 1
-            if starts[at] is None:
-                starts[at] = [size]
-            else:
-                starts[at].append(size)
-        for at in range(n):
-            if starts[at] is None:
-                starts[at] = [1]
-            elif starts[at][0] != 1:
-                starts[at].insert(0, 1)
-        open_ = bytearray(b"\xff" * (n // 8 + 1))
-        out: list[str] = []
-        tried: list[int] = []  # for each piece of ``out`` the next shorter one to try in its place
-        at, k = 0, len(starts[0]) - 1 if n else 0
+    def pieces(self, text: str) -> list[int]:
+        """The pieces of ``text``, all characters of which are pieces, by backtracking."""
+        n, size, shorter, pairs = len(text), self.size, self.shorter, self.pairs
+        longest = [-1] * n
+        for stop, k in self.automaton.iter(text):
+            longest[stop - size[k] + 1] = k  # ends ascend, so the longest comes last
+        out: list[int] = []
+        failed = None
+        at, last, k = 0, -1, longest[0]
         while at < n:
-            last = out[-1] if out else ""
             while k >= 0:
-                stop = at + starts[at][k]
-                if open_[stop >> 3] >> (stop & 7) & 1 and self.stands(last, text[at:stop]):
-                    break
-                k -= 1
+                stop = at + size[k]
+                if failed is None or not failed[stop >> 3] >> (stop & 7) & 1:
+                    stands = pairs.get(last << 32 | k)
+                    if self.stands(last, k) if stands is None else stands:
+                        break
+                k = shorter[k]
             if k >= 0:
-                out.append(text[at:stop])
-                tried.append(k - 1)
-                at = stop
-                k = len(starts[at]) - 1 if at < n else 0
+                out.append(k)
+                at, last = stop, k
+                k = longest[at] if at < n else -1
             else:
-                if not out:
-                    raise AssertionError("every text has an encoding")
-                open_[at >> 3] &= ~(1 << (at & 7))
-                at -= len(out.pop())
-                k = tried.pop()
+                if failed is None:
+                    failed = bytearray(n // 8 + 1)
+                failed[at >> 3] |= 1 << (at & 7)
+                at -= size[last]
+                k = shorter[out.pop()]
+                last = out[-1] if out else -1
         return out
 
-    def ids(self, pieces: list[str]) -> tuple[int, ...]:
-        out: list[int] = []
-        for p in pieces:
-            k = self.id.get(p)
-            if k is None:
-                out += [self.byte[b] for b in p.encode()]
-            else:
-                out.append(k)
-        return tuple(out)
-
-    def encode(self, text: str) -> array:
+    def ids(self, stretch: str) -> bytes:
+        """The ids of a stretch, four bytes each; a character that no piece holds gives its bytes."""
+        if self.letter[ord(stretch[0])]:
+            k = self.id.get(stretch) if len(stretch) == 1 else None
+            return np.array([k] if k is not None else self.pieces(stretch), np.int32).tobytes()
+        return np.array([self.byte[b] for b in stretch.encode()], np.int32).tobytes()
+
+    def seams(self, text: str) -> list[int]:
+        """Where stretches of ``text`` end, its own end included."""
+        c = self.letter[np.frombuffer(text.encode("utf-32-le"), np.uint32)].astype(np.int64)
+        pair = c[:-1] * self.letters + c[1:]
+        near = self.near[pair >> 3] >> (pair & 7).astype(np.uint8) & 1
+        return [*(np.flatnonzero(near == 0) + 1).tolist(), len(text)]
+
+    def encode(self, text: str) -> np.ndarray:
         """The ids of ``text``, the end id included."""
-        out = array("i")
+        out: list[bytes] = []
         if text:
             text = self.prefix + text.replace(" ", SPACE)
-            at, n = 0, len(text)
-            while at < n:
-                stop = n
-                if self.seam and n - at > AT_ONCE:
-                    seam = self.seam.search(text, at + AT_ONCE)
-                    stop = seam.start() + 1 if seam else n
-                for s in self.stretch.findall(text if stop - at == n else text[at:stop]):
-                    got = self.known.get(s)
+            known, at, width = self.known, 0, AT_ONCE
+            while at < len(text):
+                part = text[at : at + width]
+                ends = self.seams(part)
+                if at + width < len(text):
+                    # What follows may belong to the last stretch.
+                    ends.pop()
+                    if not ends:
+                        width *= 2
+                        continue
+                a = 0
+                for b in ends:
+                    s = part[a:b]
+                    got = known.get(s)
                     if got is None:
-                        got = self.ids(self.pieces(s))
-                        if len(s) <= LONG:
-                            if len(self.known) >= REMEMBERED:
-                                self.known.clear()
-                            self.known[s] = got
-                    out.extend(got)
-                at = stop
-        out.append(self.end)
-        return out
+                        got = self.ids(s)
+                        if b - a <= LONG:
+                            if len(known) >= REMEMBERED:
+                                known.clear()
+                            known[s] = got
+                    out.append(got)
+                    a = b
+                at += a
+                width = AT_ONCE
+        out.append(np.int32(self.end).tobytes())
+        return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ``ids``: the space before it goes, a byte that belongs to no character becomes U+FFFD; control ids give nothing."""
@@ -228,7 +237,7 @@ def _encoder(path: str):
             ids = [m.encode(t.as_py() or "") for t in rows.column(1)]
             offsets = np.zeros(len(ids) + 1, np.int32)
             np.cumsum([len(x) for x in ids], out=offsets[1:])
-            flat = np.concatenate([np.frombuffer(x, np.int32) for x in ids])
+            flat = np.concatenate(ids)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "ids"])
 
     return run
