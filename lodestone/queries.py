@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import columns as C
-from .operators import graph, joins, ngram
+from .operators import clones, graph, intervals, joins, ngram
 from .storage import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,11 +135,20 @@ def layer_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.component_ranks(edges, cycles_scc(spark, sf_dir)).select("component", "rank")
 
 
-@query()
+@query("WITH RECURSIVE " + _TOP.format(k=2) + _REACH + """,
+inner_edges AS (SELECT a.component, src, dst, ord FROM t JOIN scc a ON a.node = src JOIN scc b ON b.node = dst WHERE a.component = b.component),
+walk(component, start, here, path, ords) AS (SELECT component, src, dst, [src], [ord] FROM inner_edges WHERE dst > src
+  UNION ALL SELECT w.component, start, e.dst, list_append(path, here), list_append(ords, e.ord) FROM walk w JOIN inner_edges e ON e.src = here WHERE here <> start AND e.dst >= start AND (e.dst = start OR (e.dst <> here AND NOT list_contains(path, e.dst)))),
+found AS (SELECT component, path, start, row_number() OVER (PARTITION BY component ORDER BY start, ords) AS n FROM walk WHERE here = start),
+best AS (SELECT component, path, row_number() OVER (PARTITION BY component ORDER BY len(path), start, n) AS k FROM found WHERE n <= 25)
+SELECT component, CAST((SELECT count(*) FROM scc WHERE scc.component = best.component) AS INT) AS members, array_to_string(path, ',') AS cycle FROM best WHERE k = 1""")
 def shortest_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shortest import-like cycle of each component; enumeration is no SQL, the tests hold it against a plain search."""
-    edges = _top_edges(spark, sf_dir, 3)
-    return graph.bounded_cycles(edges, graph.strong_components(edges), "ord")
+    """The shortest of the first 25 cycles of each component, the least node first."""
+    edges = _top_edges(spark, sf_dir, 2)
+    found = graph.strong_components(edges)
+    least = found.groupBy("component").agg(F.min("node").alias("least"))
+    cycles = graph.bounded_cycles(edges, found.join(least, "component").select("node", F.col("least").alias("component")), "ord")
+    return cycles.select("component", "members", F.array_join("cycle", ",").alias("cycle"))
 
 
 @query("WITH RECURSIVE " + _TOP.format(k=2) + """, reach(a, b) AS (SELECT src, dst FROM t UNION SELECT a, dst FROM reach JOIN t ON b = src)
@@ -195,10 +204,38 @@ x AS (SELECT doc_id, s, array_to_string(t[s:s + 49], ' ') AS win FROM (SELECT do
 k AS (SELECT win, count(*) AS n FROM x GROUP BY win HAVING count(*) BETWEEN 2 AND 64)
 SELECT doc_id, CAST(s - 1 AS INTEGER) AS position, CAST(n AS BIGINT) AS n FROM x JOIN k USING (win)""")
 def clone_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, found = _windows(spark, sf_dir)
+    return found.join(ngram.in_band(found), "key").select("doc_id", F.col("at").alias("position"), "n")
+
+
+def _windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as words, and their windows of 50."""
     words = F.filter(F.split(F.lower("text"), "\\s+"), lambda x: x != "")
+    streams = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", words.alias("t"))
     # Windows are made once; what counts them and what they are counted for read the same table.
-    found = cut(ngram.windows(spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", words.alias("t")), "doc_id", "t", 50))
-    return found.join(ngram.in_band(found), "key").select("doc_id", F.col("at").alias("position"), "n")
+    return streams, cut(ngram.windows(streams, "doc_id", "t", 50))
+
+
+@query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '\S+') AS t FROM documents),
+x AS (SELECT doc_id, s, array_to_string(t[s:s + 49], ' ') AS win FROM (SELECT doc_id, t, unnest(range(1, len(t) - 48)) AS s FROM w WHERE len(t) >= 50)),
+k AS (SELECT win FROM x GROUP BY win HAVING count(*) BETWEEN 2 AND 64), o AS (SELECT x.* FROM x JOIN k USING (win)),
+p AS (SELECT a.doc_id AS sa, a.s AS i, b.doc_id AS sb, b.s AS j FROM o a JOIN o b ON a.win = b.win AND (a.doc_id, a.s) < (b.doc_id, b.s)),
+g AS (SELECT sa, i, sb, j, list_position(list_transform(range(50, 1 + greatest(len(wa.t) - i, len(wb.t) - j) + 1), lambda n: wa.t[i + n] IS NULL OR wb.t[j + n] IS NULL OR wa.t[i + n] <> wb.t[j + n]), true) + 49 AS length
+  FROM p JOIN w wa ON wa.doc_id = sa JOIN w wb ON wb.doc_id = sb)
+SELECT sa AS doc_a, CAST(i - 1 AS INT) AS at_a, sb AS doc_b, CAST(j - 1 AS INT) AS at_b, CAST(length AS INT) AS length FROM g WHERE sa <> sb OR j >= i + length""")
+def clone_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every two places that share a window of 50 words, and how far they go on alike."""
+    streams, found = _windows(spark, sf_dir)
+    pairs = clones.maximal_pairs(clones.window_pairs(found, "doc_id"), streams, "doc_id", "t", 50)
+    return pairs.select(F.col("sa").alias("doc_a"), F.col("a").alias("at_a"), F.col("sb").alias("doc_b"), F.col("b").alias("at_b"), "length")
+
+
+@query()
+def clone_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more that documents share, the longest first; the tests hold it against taking pairs one by one."""
+    streams, found = _windows(spark, sf_dir)
+    tiled = clones.tile(clones.maximal_pairs(clones.window_pairs(found, "doc_id"), streams, "doc_id", "t", 50))
+    return tiled.select(F.col("clone.s").alias("first_doc"), F.col("clone.at").alias("first_at"), "length", F.col("s").alias("doc_id"), F.col("at").alias("position"))
 
 
 @query("SELECT md5(text) AS text_md5, count(*) AS copies, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents GROUP BY text HAVING count(*) > 1")
@@ -292,3 +329,20 @@ def confidence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = F.when(F.col("value") > 40, 0).when(F.col("value") > 10, 1).otherwise(2)
     f = table(spark, sf_dir, "events").select("event_type", rank.alias("rank")).where("rank <= 1")
     return f.groupBy("event_type").agg(F.count("*").alias("findings"), F.count_if(F.col("rank") == 0).alias("high"), F.count_if(F.col("rank") == 1).alias("medium"))
+
+
+@query("""WITH s AS (SELECT o_orderkey, c_nationkey AS nation, date_diff('day', DATE '1970-01-01', CAST(min(l_shipdate) AS DATE)) AS a, date_diff('day', DATE '1970-01-01', CAST(max(l_shipdate) AS DATE)) AS b
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY ALL),
+p AS (SELECT l_orderkey, l_linenumber, s_nationkey AS nation, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS d FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
+q AS (SELECT DISTINCT nation, d FROM p), m AS (SELECT q.nation, q.d, arg_min(o_orderkey, (-a, b, o_orderkey)) AS inner_order FROM q JOIN s ON s.nation = q.nation AND q.d BETWEEN a AND b GROUP BY ALL)
+SELECT l_orderkey, l_linenumber, inner_order FROM p LEFT JOIN m USING (nation, d)""")
+def innermost_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each line the innermost shipping span, among the orders of its supplier's nation, that holds its date."""
+    day = F.unix_date(F.to_date("l_shipdate"))
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", day.alias("day"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("nation"))
+    spans = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    spans = spans.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").join(c, "o_custkey").select("nation", "a", "b", "o_orderkey")
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("nation"))
+    got = intervals.innermost(li.join(s, "l_suppkey"), spans, ["nation"], "day", "a", "b", ["o_orderkey"])
+    return got.select("l_orderkey", "l_linenumber", F.col("__span.o_orderkey").alias("inner_order"))

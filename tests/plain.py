@@ -67,3 +67,53 @@ def tile(streams: dict[int, list[tuple[str, int, bool]]], size: int, min_lines:
                 clones[k][1].append(new)
                 holders[(n, *new)] = k
     return [(n, sorted(places)) for n, places in clones]
+
+
+def components(edges: list[tuple]) -> dict:
+    """node: least node of its strongly connected component, by reachability."""
+    nodes = {x for e in edges for x in e}
+    out = defaultdict(set)
+    for a, b in edges:
+        out[a].add(b)
+    reach = {}
+    for n in nodes:
+        todo, seen = [n], {n}
+        while todo:
+            for m in out[todo.pop()] - seen:
+                seen.add(m)
+                todo.append(m)
+        reach[n] = seen
+    return {n: min(m for m in reach[n] if n in reach[m]) for n in nodes}
+
+
+def ranks(edges: list[tuple]) -> dict:
+    """component (least node): edges of the longest chain of components above it."""
+    comp = components(edges)
+    dag = {(comp[a], comp[b]) for a, b in edges if comp[a] != comp[b]}
+    above = defaultdict(set)
+    for a, b in dag:
+        above[b].add(a)
+    rank: dict = {}
+    while len(rank) < len(set(comp.values())):
+        for c in set(comp.values()) - set(rank):
+            if all(a in rank for a in above[c]):
+                rank[c] = max((rank[a] + 1 for a in above[c]), default=0)
+    return rank
+
+
+def cycles(order: dict, most: int) -> list[list]:
+    """Simple cycles by trying every path: those through the least node first, targets as given."""
+    out: list[list] = []
+
+    def walk(start, path):
+        for t in order[path[-1]]:
+            if len(out) >= most:
+                return
+            if t == start:
+                out.append(list(path))
+            elif t > start and t in order and t not in path:
+                walk(start, [*path, t])
+
+    for start in sorted(order):
+        walk(start, [start])
+    return out[:most]

@@ -1,11 +1,12 @@
 """Operators over tables against plain versions on random input."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import clones, intervals, ngram
+from lodestone.operators import clones, graph, intervals, ngram
 
 from . import plain
 
@@ -101,3 +102,73 @@ def test_windows_are_the_runs(spark, size):
             keys.setdefault(tuple(rows[r.s][1][r["at"] : r["at"] + size]), set()).add(tuple(r.key))
         assert sorted((r.s, r["at"]) for r in got) == sorted((s, k) for s, k, _ in want)
         assert all(len(v) == 1 for v in keys.values()) and len({next(iter(v)) for v in keys.values()}) == len(keys)
+
+
+def shaped(rng, kind):
+    """Edges of graphs that contraction, trimming and colouring meet: paths, rings, trees, tangles joined by chains."""
+    if kind == "sparse":
+        return [(rng.randrange(60), rng.randrange(60)) for _ in range(70)]
+    if kind == "dense":
+        return [(rng.randrange(30), rng.randrange(30)) for _ in range(140)]
+    if kind == "rings":
+        e = [(k, k + 1) for k in range(0, 40)] + [(40, 0)] + [(50 + k, 50 + (k + 1) % 7) for k in range(7)] + [(3, 50), (70, 71), (71, 70), (80, 80)]
+        return e + [(90 + k, 91 + k) for k in range(9)] + [(99, 90), (92, 96), (12, 12)]
+    if kind == "tree":
+        return [(rng.randrange(k), k) for k in range(1, 80)] + [(79, 0)] * (rng.random() < 0.5)
+    e = [(k, k + 1) for k in range(100)] + [(k + 200, k + 201) for k in range(30)]
+    return e + [(rng.randrange(100), rng.randrange(100)) for _ in range(6)] + [(100, 200), (230, rng.randrange(100)), (50, 300), (300, 301), (400, 20)]
+
+
+@pytest.mark.parametrize(("kind", "seed"), [("sparse", 1), ("dense", 3), ("rings", 4), ("tree", 5), ("chains", 6)])
+def test_components_and_ranks(spark, kind, seed):
+    edges = shaped(random.Random(seed), kind)
+    df = spark.createDataFrame(edges + edges[:3] + [(None, 1), (2, None)], "src int, dst int").repartition(3)
+    found = graph.strong_components(df).collect()
+    want = plain.components(edges)
+    least = {}
+    for r in found:
+        least[r.component] = min(least.get(r.component, r.node), r.node)
+    assert len(found) == len(want) and {r.node: least[r.component] for r in found} == want
+    named = spark.createDataFrame([(n, c) for n, c in want.items()], "node int, component int")
+    got = graph.component_ranks(df.dropna(), named).collect()
+    assert {r.component: r["rank"] for r in got} == plain.ranks(edges) and len(got) == len(set(want.values()))
+
+
+def test_long_paths_take_few_rounds(spark, monkeypatch):
+    """A path, a ring and a comb of 100,000 nodes."""
+    n = 100_000
+    ids = spark.range(n)
+    shuffled = (F.col("id") * 7_919) % n
+    path = ids.where(f"id < {n - 1}").select(shuffled.alias("src"), ((F.col("id") + 1) * 7_919 % n).alias("dst"))
+    ring = ids.select(shuffled.alias("src"), ((F.col("id") + 1) * 7_919 % n).alias("dst"))
+    rounds = []
+    kept = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: rounds.append(1) or kept(df))
+    assert graph.strong_components(path).select("component").distinct().count() == n and len(rounds) < 40
+    rounds.clear()
+    assert graph.strong_components(ring).select("component").distinct().count() == 1 and len(rounds) < 40
+    rounds.clear()
+    ranks = graph.component_ranks(path, ids.select(F.col("id").alias("node"), F.col("id").alias("component")))
+    assert ranks.agg(F.max("rank"), F.count_distinct("rank")).first() == (n - 1, n) and len(rounds) < 40
+
+
+def test_cycles_are_those_of_every_path():
+    rng = random.Random(9)
+    for _ in range(300):
+        n = rng.randrange(2, 9)
+        order = {k: rng.sample([j for j in range(n) if j != k], rng.randrange(0, min(4, n))) for k in range(n)}
+        most = rng.choice([1, 3, 25, 10_000])
+        assert graph.simple_cycles(order, most) == plain.cycles(order, most)
+
+
+def test_ladder_of_many_paths_stays_fast():
+    """Every rung doubles the paths; most of them lead nowhere."""
+    n = 5_000
+    order = {2 * k + s: [2 * k + 2, 2 * k + 3] for k in range(n - 1) for s in (0, 1)} | {2 * n - 2: [0], 2 * n - 1: []}
+    began = time.perf_counter()
+    got = graph.simple_cycles(order, 25)
+    assert len(got) == 25 and len({tuple(c) for c in got}) == 25 and all(len(c) == n for c in got)
+    # No way back to the start from the side that the search tries first.
+    dead = {0: [1, 10_000]} | {k: [min(2 * (k // 2) + 2, 9_998), min(2 * (k // 2) + 3, 9_999)] for k in range(1, 9_998)} | {9_998: [9_999], 9_999: [9_998], 10_000: [0, 1]}
+    assert graph.simple_cycles(dead, 25) == [[0, 10_000], [9_998, 9_999]]
+    assert time.perf_counter() - began < 20
