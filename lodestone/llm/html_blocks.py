@@ -20,7 +20,7 @@ from __future__ import annotations
 import html as _html
 import re
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
 from pathlib import Path
@@ -51,8 +51,10 @@ _CLOSED_BY = {
     "option": frozenset(["option", "optgroup"]),
 }
 _STOPS = frozenset("ul ol table dl select body html article section div main aside nav header footer form td th".split())
-#: Elements inside each other that count; a page may be nested deeper, but what is deeper adds no name to a path.
+#: Elements around a text whose names its path holds, the outermost first; a page may be nested to any depth.
 DEPTH = 256
+#: Elements that a block may close or that keep it from closing what is outside.
+_MET = _STOPS | set(_CLOSED_BY) | {"p"}
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _PLAIN = re.compile(r"[^'\">]*")
 _NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -129,7 +131,10 @@ def blocks_of(page: str) -> list[Block]:
     parts: list[str] = []
     blank, linked, links = True, 0, 0
     path: tuple = ()
-    opened: Counter[str] = Counter()
+    # Places in the stack of each name, of blocks, and of what a block may meet, so that no search passes over what is nested in between.
+    places: defaultdict[str, list[int]] = defaultdict(list)
+    solid: list[int] = []
+    met: list[int] = []
     marks = _Marks(page)
     unclosed: set[str] = set()
 
@@ -147,7 +152,7 @@ def blocks_of(page: str) -> list[Block]:
         text = _html.unescape(raw) if "&" in raw else raw
         if not text.isspace():
             if blank:
-                path = tuple(n for _, names in stack for n in names)
+                path = tuple(n for _, names in stack[:DEPTH] for n in names)
                 blank = False
             if links:
                 linked += len(text)
@@ -156,9 +161,12 @@ def blocks_of(page: str) -> list[Block]:
     def leave(k: int) -> None:
         nonlocal links
         for t, _ in stack[k:]:
-            opened[t] -= 1
-        links = opened["a"]
+            places[t].pop()
+        links = len(places["a"])
         del stack[k:]
+        for kept in (solid, met):
+            while kept and kept[-1] >= k:
+                kept.pop()
 
     at, end = 0, len(page)
     while at < end:
@@ -175,12 +183,9 @@ def blocks_of(page: str) -> list[Block]:
                 flush()
             elif tag == "br":
                 parts.append(" ")
-            for k in range(len(stack) - 1, -1, -1) if opened[tag] else ():
-                if stack[k][0] == tag:
-                    leave(k)
-                    break
-                if tag not in BLOCK_TAGS and stack[k][0] in BLOCK_TAGS:
-                    break
+            # What is not a block ends inside the innermost block only.
+            if places[tag] and (tag in BLOCK_TAGS or not solid or places[tag][-1] > solid[-1]):
+                leave(places[tag][-1])
             continue
         if tag in SKIPPED:
             if not attrs.rstrip().endswith("/"):
@@ -196,7 +201,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag in BLOCK_TAGS:
             flush()
-            for k in range(len(stack) - 1, -1, -1):
+            for k in reversed(met):
                 t = stack[k][0]
                 if t == "p" or tag in _CLOSED_BY.get(t, ()):
                     leave(k)
@@ -205,10 +210,15 @@ def blocks_of(page: str) -> list[Block]:
                     break
         elif tag == "br":
             parts.append(" ")
-        if tag not in VOID and not attrs.endswith("/") and len(stack) < DEPTH:
-            stack.append((tag, _names(tag, attrs)))
-            opened[tag] += 1
-            links = opened["a"]
+        if tag not in VOID and not attrs.endswith("/"):
+            k = len(stack)
+            stack.append((tag, _names(tag, attrs) if k < DEPTH else ()))
+            places[tag].append(k)
+            if tag in BLOCK_TAGS:
+                solid.append(k)
+            if tag in _MET:
+                met.append(k)
+            links = len(places["a"])
     flush()
     return out
 
