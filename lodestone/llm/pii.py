@@ -33,11 +33,12 @@ ACCOUNT_CUES = ("iban", "account", "acct", "konto", "cuenta", "compte", "ssn", "
 STREET_CUES = (" street", " avenue", " road", " lane", "straße", "strasse", "rue ", "calle ", "avenida ")
 #: Schemes whose address part may name a person (fixed values).
 SCHEMES = ("mailto:", "://", "tel:")
-#: Characters of an account number by country, where a following word can look like its last groups (fixed values).
+#: Characters of an account number by country, as registered under ISO 13616 (fixed values): a following word can look like its last groups.
 IBAN_LENGTHS = {
     c: n
     for n, codes in {
-        16: "BE", 20: "AT BA EE KZ LT LU XK", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 28: "AL AZ BY CY DO GT HU LB PL SV",
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
     }.items()
     for c in codes.split()
 }

@@ -211,3 +211,44 @@ def test_product_codes_take_odd_tables(spark):
     # Vectors of another length are left out; huge components stop at the limit.
     other = spark.createDataFrame([(1, [1.0] * 8, 0), (2, [1.0] * 4, 0), (3, [], 0), (4, [1e30] + [0.0] * 7, 0)], df.select("vec_id", "embedding", "label").schema)
     assert {r.vec_id for r in product_codes.compress(other).collect()} == {1, 4}
+
+
+# 5. HTML extraction
+
+
+@pytest.mark.parametrize("depth", [200, 255, 256, 257, 300, 5_000, 100_000])
+def test_deep_nesting_closes_nothing_outside(depth):
+    """Elements past the depth whose names are kept are closed by their own end tags."""
+    from lodestone.llm.html_blocks import blocks_of
+
+    page = "<html><body><article><div><p>before</p>" + "<div>" * depth + "deep" + "</div>" * depth + "<p>after</p></div><p>last</p></article><footer>foot</footer></body></html>"
+    outside = [(t, path) for t, path, _ in blocks_of(page) if t != "deep"]
+    assert outside == [("before", ("html", "body", "article", "div", "p")), ("after", ("html", "body", "article", "div", "p")), ("last", ("html", "body", "article", "p")), ("foot", ("html", "body", "footer"))]
+
+
+def test_many_open_elements_stay_fast():
+    import time
+
+    from lodestone.llm.html_blocks import blocks_of
+
+    began = time.perf_counter()
+    assert len(blocks_of("<span>" * 30_000 + "<div>x</div>" * 30_000)) == 30_000
+    assert blocks_of("<u><div>" + "<b>" * 30_000 + "</u>x" * 30_000)[0][0] == "x" * 30_000
+    assert time.perf_counter() - began < 60
+
+
+# 9. Personal data
+
+
+def test_account_numbers_end_at_the_length_of_their_country():
+    """Made numbers of every registered length, with a word after them that also makes the check digits right."""
+    from lodestone.llm.pii import IBAN_LENGTHS, _iban_end, iban
+
+    assert len(IBAN_LENGTHS) > 80
+    for country, n in IBAN_LENGTHS.items():
+        body = ("1234567890" * 4)[: n - 4]
+        rest = int("".join(str(int(c, 36)) for c in f"{body}{country}00")) % 97
+        number = f"{country}{98 - rest:02}{body}"
+        assert iban(number) and len(number) == n
+        tail = next(f" {k:03}" for k in range(1000) if iban(f"{number}{k:03}")) if n <= 31 else ""
+        assert _iban_end(number + tail, 0, len(number + tail)) == n
