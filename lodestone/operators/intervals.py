@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -59,3 +59,32 @@ def innermost(points: DataFrame, spans: DataFrame, key: list[str], at: str, star
     for c, n in zip(k, names):
         on = on & (c == F.col(n))
     return points.join(found.withColumnRenamed("at", "__at"), on, "left").drop("__at", *names)
+
+
+def as_of(left: DataFrame, right: DataFrame, key: list[str], at: str, carry: list[str], bits: int = 16) -> DataFrame:
+    """``left`` with ``carry``: those columns of the last row of ``right`` of the same key whose ``at`` is no greater; null where there is none.
+
+    ``at`` is a whole number in both; of rows of ``right`` at one place the one of
+    the greatest ``carry`` counts, and null keys equal null keys. Both tables are
+    laid into one order and the last value goes along it, by stretches of 2**bits
+    numbers, so a key of any size is many tasks' work; what a stretch starts with
+    comes from the one row that each stretch before it hands on.
+    """
+    last = F.struct(*(F.col(c) for c in carry))
+    r = right.where(F.col(at).isNotNull()).groupBy(*key, at).agg(F.max(last).alias("__last"))
+    rows = left.withColumn("__last", F.lit(None).cast(r.schema["__last"].dataType)).withColumn("__asks", F.lit(True))
+    rows = rows.unionByName(r.withColumn("__asks", F.lit(False)), allowMissingColumns=True)
+    rows = rows.withColumn("__part", F.call_function("shiftright", F.col(at).cast("bigint"), F.lit(bits)))
+    held = r.withColumn("__part", F.call_function("shiftright", F.col(at).cast("bigint"), F.lit(bits))).groupBy(*key, "__part").agg(F.max_by("__last", at).alias("__held"))
+    # A stretch with questions and no row of its own takes part in the handing on as well.
+    parts = held.unionByName(left.select(*key, F.call_function("shiftright", F.col(at).cast("bigint"), F.lit(bits)).alias("__part")).distinct(), allowMissingColumns=True)
+    parts = parts.groupBy(*key, "__part").agg(F.first("__held", ignorenulls=True).alias("__held"))
+    before = Window.partitionBy(*key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    handed = parts.select(*(F.col(k).alias(f"__k{j}") for j, k in enumerate(key)), F.col("__part").alias("__p"), F.last("__held", ignorenulls=True).over(before).alias("__carried"))
+    inside = Window.partitionBy(*key, "__part").orderBy(F.col(at), "__asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    told = rows.withColumn("__last", F.last("__last", ignorenulls=True).over(inside)).where("__asks")
+    on = F.col("__part").eqNullSafe(F.col("__p"))
+    for j, k in enumerate(key):
+        on = on & F.col(k).eqNullSafe(F.col(f"__k{j}"))
+    told = told.join(handed, on, "left").withColumn("__last", F.when(F.col(at).isNotNull(), F.coalesce("__last", "__carried")))
+    return told.select(*left.columns, *(F.col("__last")[c].alias(c) for c in carry))

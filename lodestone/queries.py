@@ -346,3 +346,23 @@ def innermost_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("nation"))
     got = intervals.innermost(li.join(s, "l_suppkey"), spans, ["nation"], "day", "a", "b", ["o_orderkey"])
     return got.select("l_orderkey", "l_linenumber", F.col("__span.o_orderkey").alias("inner_order"))
+
+
+@query(r"""WITH t AS (SELECT page_id, html, unnest(regexp_split_to_array(html, '<[a-zA-Z]')) AS piece, generate_subscripts(regexp_split_to_array(html, '<[a-zA-Z]'), 1) AS k FROM pages WHERE html IS NOT NULL),
+o AS (SELECT page_id, html, k, CAST(sum(length(piece) + 2) OVER (PARTITION BY page_id ORDER BY k) - 2 AS BIGINT) AS pos, max(k) OVER (PARTITION BY page_id) AS n FROM t),
+l AS (SELECT page_id, pos, substr(html, 1, pos) AS head FROM o WHERE k < n)
+SELECT page_id, pos AS tag_offset, CAST(length(head) - length(replace(head, chr(10), '')) + 1 AS BIGINT) AS line, CAST(length(list_last(string_split(head, chr(10)))) + 1 AS BIGINT) AS col FROM l""")
+def tag_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offset, line and column, in code points, of every start tag of the pages."""
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "html").where("html is not null"))
+
+    def starts(pattern: str, width: int) -> DataFrame:
+        """(page_id, k, at) where the text after the k-th separator of ``width`` characters, or the page, starts."""
+        pieces = pages.select("page_id", F.posexplode(F.transform(F.split("html", pattern), lambda x: F.length(x).cast("bigint") + width)).alias("k", "n"))
+        before = Window.partitionBy("page_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+        return pieces.select("page_id", "k", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("at"))
+
+    lines = starts("\n", 1).select("page_id", "at", (F.col("k") + 1).cast("bigint").alias("line"), F.col("at").alias("begin"))
+    tags = starts("<[a-zA-Z]", 2).where("k > 0").select("page_id", (F.col("at") - 2).alias("at"))
+    got = intervals.as_of(tags, lines, ["page_id"], "at", ["line", "begin"])
+    return got.select("page_id", F.col("at").alias("tag_offset"), "line", (F.col("at") - F.col("begin") + 1).alias("col"))

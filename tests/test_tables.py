@@ -172,3 +172,16 @@ def test_ladder_of_many_paths_stays_fast():
     dead = {0: [1, 10_000]} | {k: [min(2 * (k // 2) + 2, 9_998), min(2 * (k // 2) + 3, 9_999)] for k in range(1, 9_998)} | {9_998: [9_999], 9_999: [9_998], 10_000: [0, 1]}
     assert graph.simple_cycles(dead, 25) == [[0, 10_000], [9_998, 9_999]]
     assert time.perf_counter() - began < 20
+
+
+def test_as_of(spark):
+    rng = random.Random(11)
+    right = [(rng.choice("ab"), rng.randrange(-300, 300), k) for k in range(60)] + [(None, 5, 900), ("a", None, 901)]
+    left = [(k, rng.choice(["a", "b", "c", None]), rng.randrange(-400, 400)) for k in range(300)] + [(300, "a", None), (5, "a", 3), (5, "a", 3)]
+    got = intervals.as_of(spark.createDataFrame(left, "id int, k string, at bigint").repartition(3), spark.createDataFrame(right, "k string, at bigint, v int"), ["k"], "at", ["v"], bits=4)
+
+    def want(k, at):
+        held = [(x, v) for kk, x, v in right if at is not None and x is not None and kk == k and x <= at]
+        return max(held)[1] if held else None
+
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(str((i, k, at, want(k, at))) for i, k, at in left)
