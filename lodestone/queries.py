@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import columns as C
-from .operators import clones, graph, intervals, joins, ngram
+from .operators import clones, globs, graph, intervals, joins, ngram
 from .storage import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -366,3 +366,21 @@ def tag_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = starts("<[a-zA-Z]", 2).where("k > 0").select("page_id", (F.col("at") - 2).alias("at"))
     got = intervals.as_of(tags, lines, ["page_id"], "at", ["line", "begin"])
     return got.select("page_id", F.col("at").alias("tag_offset"), "line", (F.col("at") - F.col("begin") + 1).alias("col"))
+
+
+@query(r"""WITH n AS (SELECT DISTINCT p_brand || '/' || p_type || '/' || p_name AS path FROM part),
+g AS (SELECT CASE p_partkey % 5 WHEN 0 THEN p_brand || '/**/' || p_name WHEN 1 THEN '*/' || p_type || '/' || p_name[1:3] || '*' WHEN 2 THEN '**/?' || p_name[2:] WHEN 3 THEN p_brand || '/' || p_type ELSE '*' || p_brand[6:] || '/E*/*' || p_name[-4:] END AS pat,
+  CASE p_partkey % 5 WHEN 0 THEN p_brand || '/(?:.*/)?' || p_name WHEN 1 THEN '[^/]*/' || p_type || '/' || p_name[1:3] || '[^/]*' WHEN 2 THEN '(?:.*/)?[^/]' || p_name[2:] WHEN 3 THEN p_brand || '/' || p_type || '(?:/.*)?' ELSE '[^/]*' || p_brand[6:] || '/E[^/]*/[^/]*' || p_name[-4:] END AS rx,
+  CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN p_type || '/' || p_name[1:3] WHEN 2 THEN p_name[2:] WHEN 3 THEN p_brand || '/' || p_type ELSE p_name[-4:] END AS lit FROM part),
+d AS (SELECT DISTINCT * FROM g)
+SELECT path, min(pat) AS first_glob, count(*) AS globs FROM n JOIN d ON contains(path, lit) AND regexp_full_match(path, rx) GROUP BY path""")
+def glob_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the globs made of the parts, one of each, hold the path of each part, and the least of them."""
+    name, brand, kind = F.col("p_name"), F.col("p_brand"), F.col("p_type")
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    made = [F.concat(brand, F.lit("/**/"), name), F.concat(F.lit("*/"), kind, F.lit("/"), F.substring(name, 1, 3), F.lit("*")), F.concat(F.lit("**/?"), F.expr("substring(p_name, 2)")), F.concat(brand, F.lit("/"), kind)]
+    glob = F.concat(F.lit("*"), F.expr("substring(p_brand, 6)"), F.lit("/E*/*"), F.expr("substring(p_name, -4)"))
+    for k, g in enumerate(made):
+        glob = F.when(F.col("p_partkey") % 5 == k, g).otherwise(glob)
+    hits = globs.matching(parts.select(F.concat_ws("/", brand, kind, name).alias("path")), "path", parts.select(glob.alias("glob")), "glob")
+    return hits.groupBy("path").agg(F.min("glob").alias("first_glob"), F.count("*").alias("globs"))

@@ -1,12 +1,15 @@
 """Operators over tables against plain versions on random input."""
 
 import random
+import re
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions.columns import glob_regex
 from lodestone.operators import clones, graph, intervals, ngram
+from lodestone.operators import globs as globs_op
 
 from . import plain
 
@@ -185,3 +188,19 @@ def test_as_of(spark):
         return max(held)[1] if held else None
 
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(str((i, k, at, want(k, at))) for i, k, at in left)
+
+
+def test_globs(spark):
+    rng = random.Random(12)
+    parts = ["a", "ab", "test_", "x.y", "src", "(z)", "b+", "é"]
+    names = sorted({"/".join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 3))) for _ in range(rng.randrange(1, 4))) for _ in range(200)}) + ["", "a\nb"]
+    globs = sorted({"".join(rng.choice([*parts, "*", "**/", "**", "?", "/", "src/"]) for _ in range(rng.randrange(1, 6))) for _ in range(300)}) + ["*", "**", "", "?", "a*b"]
+    n = spark.createDataFrame([(x,) for x in [*names, None, names[0]]], "n string")
+    g = spark.createDataFrame([(x,) for x in [*globs, None, globs[0]]], "g string")
+    for crossing in (True, False):
+        got = globs_op.matching(n, "n", g, "g", crossing)
+        want = {(x, p) for x in names for p in globs if re.search(glob_regex(p, crossing).replace("^", "\\A", 1)[:-1] + "\\Z", x, re.S)}
+        assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert not globs_op.matching(n, "n", g.where("false"), "g").count()
