@@ -183,6 +183,22 @@ def reachable(edges: DataFrame, roots: DataFrame, src: str = "src", dst: str = "
     return reduce(DataFrame.union, steps).distinct() if steps else edges.sparkSession.createDataFrame([], visited.schema)
 
 
+def closure(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(node, hops): the one column of ``seeds`` and all that it reaches, with the least number of edges to each; nulls reach nothing.
+
+    A round steps from the nodes that the last one found, so an edge is taken
+    once, and ends when it finds none.
+    """
+    e = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null").distinct()
+    front = cut(seeds.select(F.col(seeds.columns[0]).alias("node")).where("node is not null").distinct().withColumn("hops", F.lit(0)))
+    found = front
+    while not front.isEmpty():
+        step = front.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("hops") + 1).alias("hops")).distinct()
+        front = cut(step.join(found.select("node"), "node", "left_anti"))
+        found = found.union(front)
+    return found
+
+
 def tangles(order: dict) -> list[list]:
     """Strongly connected components of two nodes or more, by depth-first search without recursion."""
     index: dict = {}

@@ -204,3 +204,15 @@ def test_globs(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert not globs_op.matching(n, "n", g.where("false"), "g").count()
+
+
+def test_closure_gives_least_hops(spark):
+    rng = random.Random(13)
+    edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(110)] + [(None, 3), (3, None), (200, 201), (201, 200)]
+    hops, front = {0: 0, 5: 0, 300: 0}, [0, 5]
+    while front:
+        front = sorted({b for a, b in edges if a in front and b is not None} - set(hops))
+        hops |= dict.fromkeys(front, max(hops.values()) + 1)
+    seeds = spark.createDataFrame([(0,), (5,), (5,), (300,), (None,)], "s int")
+    got = graph.closure(spark.createDataFrame(edges, "src int, dst int"), seeds).collect()
+    assert {r.node: r.hops for r in got} == hops and len(got) == len(hops)
