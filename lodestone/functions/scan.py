@@ -283,6 +283,7 @@ class Scan:
         callee = node.func.id if isinstance(node.func, ast.Name) else None
         if callee in ("globals", "vars") and not node.args and not node.keywords:
             self.reads_globals = True
+        # Calls that take an attribute by its name (fixed values).
         if callee in ("getattr", "hasattr", "setattr", "delattr") and len(node.args) > 1 and isinstance(node.args[1], ast.Constant) and isinstance(node.args[1].value, str):
             self.facts["attr_names"].append(node.args[1].value)
 

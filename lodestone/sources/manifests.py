@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..config import Boundaries, Config, DenyRule, Limits, TestCollection
 
+#: Files that declare a project (fixed values).
 MANIFESTS = ("pyproject.toml", "setup.py", "setup.cfg", "requirements.txt")
 #: Directories that hold no manifest of the project (fixed values).
 SKIPPED = frozenset((".git", ".hg", ".venv", "venv", "env", ".env", "node_modules", "__pycache__", ".tox", ".nox", "build", "dist", "site-packages", "tests", "test", ".eggs"))
