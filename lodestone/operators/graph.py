@@ -183,19 +183,19 @@ def reachable(edges: DataFrame, roots: DataFrame, src: str = "src", dst: str = "
     return reduce(DataFrame.union, steps).distinct() if steps else edges.sparkSession.createDataFrame([], visited.schema)
 
 
-def closure(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(node, hops): the one column of ``seeds`` and all that it reaches, with the least number of edges to each; nulls reach nothing.
+def closure(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "dst", most: int | None = None, nulls: bool = False) -> DataFrame:
+    """(node, hops): the one column of ``seeds`` and all that it reaches, with the least number of edges to each, ``most`` at most; nulls reach nothing, and are reached only with ``nulls``.
 
     A round steps from the nodes that the last one found, so an edge is taken
-    once, and ends when it finds none.
+    once, and ends when it finds none. Edges are written once for all rounds.
     """
-    e = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null").distinct()
-    front = cut(seeds.select(F.col(seeds.columns[0]).alias("node")).where("node is not null").distinct().withColumn("hops", F.lit(0)))
-    found = front
-    while not front.isEmpty():
+    e = cut(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where(F.col("src").isNotNull() & (F.col("dst").isNotNull() | F.lit(nulls))).distinct())
+    front = cut(seeds.select(F.col(seeds.columns[0]).alias("node")).where(F.col("node").isNotNull() | F.lit(nulls)).distinct().withColumn("hops", F.lit(0)))
+    found, done = front, 0
+    while (most is None or done < most) and not front.isEmpty():
         step = front.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("hops") + 1).alias("hops")).distinct()
-        front = cut(step.join(found.select("node"), "node", "left_anti"))
-        found = found.union(front)
+        front = cut(step.join(found.select(F.col("node").alias("__n")), F.col("node").eqNullSafe(F.col("__n")), "left_anti"))
+        found, done = found.union(front), done + 1
     return found
 
 
