@@ -75,6 +75,42 @@ def test_clones_are_those_of_taking_pairs_one_by_one(spark, seed, alphabet, size
     assert {(n, tuple(sorted(p))) for (n, _), p in got.items()} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize(("seed", "alphabet", "size", "high"), [(1, "abcdefghijklmnop", 6, 20), (3, "ab", 5, 9), (4, "abc", 8, 4)])
+def test_stretches_hold_the_pairs_and_tile_alike(spark, seed, alphabet, size, high):
+    """A row for each run of pairs, not for each pair, and the same clones; windows beyond the band break runs."""
+    streams = random_streams(random.Random(seed), alphabet, 8, 12)
+    df = spark.createDataFrame([(s, [t[0] for t in toks]) for s, toks in streams.items()], "s int, t array<string>").repartition(3)
+    found = ngram.repeating(df, "s", F.col("t"), size).cache()
+    pairs = clones.maximal_pairs(clones.window_pairs(ngram.windows(df, "s", "t", size), "s", 2, high), df, "s", "t", size)
+    runs = clones.stretches(found, df, "s", "t", size, 2, high).cache()
+    want = sorted(map(tuple, pairs.collect()))
+    assert sorted(map(tuple, clones.unfolded(runs).collect())) == want and runs.count() < len(want)
+    got = {}
+    for r in clones.tile(runs).collect():
+        got.setdefault((r.length, tuple(r.clone)), []).append((r.s, r["at"]))
+    assert sorted((n, tuple(sorted(p))) for (n, _), p in got.items()) == sorted((n, tuple(p)) for n, p in plain.tile(streams, size, 1, True, 2, high))
+
+
+@pytest.mark.parametrize("size", [1, 5, 50])
+def test_repeating_windows_lack_none_that_occurs_twice(spark, size):
+    rng = random.Random(size)
+    copied = [rng.choice("abcdefgh") for _ in range(120)]
+    rows = [(s, None if s == 5 else [rng.choice("abcdefgh") for _ in range(n)] + copied[:m]) for s, (n, m) in enumerate([(0, 0), (0, 1), (400, 90), (300, 120), (0, 0), (0, 0), (900, 0), (30, 51)])]
+    df = spark.createDataFrame(rows, "s int, t array<string>").repartition(2)
+    seen = {}
+    for s, t in rows:
+        for k in range(len(t or []) - size + 1):
+            seen.setdefault(tuple(t[k : k + size]), []).append((s, k))
+    got = ngram.repeating(df, "s", F.col("t"), size).collect()
+    places = [(r.s, r["at"]) for r in got]
+    assert len(places) == len(set(places)) and set(places) >= {p for v in seen.values() if len(v) > 1 for p in v}
+    assert size < 50 or len(places) < sum(map(len, seen.values())) / 2
+    keys = {}
+    for r in got:
+        keys.setdefault(tuple(rows[r.s][1][r["at"] : r["at"] + size]), set()).add(tuple(r.key))
+    assert all(len(v) == 1 for v in keys.values()) and len({next(iter(v)) for v in keys.values()}) == len(keys)
+
+
 def test_common_prefix(spark):
     rng = random.Random(7)
     base = [rng.choice("ab") for _ in range(300)]
