@@ -128,9 +128,14 @@ def denied(edges: DataFrame, deny: DataFrame, allow: DataFrame, key: list[str],
 
 def reconcile(declared: DataFrame, used: DataFrame, on: list[str]) -> DataFrame:
     """(on..., status): ``unused`` if only declared, ``undeclared`` if only used, else ``matched``; once per key."""
-    both = declared.select(*on, F.lit(1).alias("d"), F.lit(0).alias("u")).union(used.select(*on, F.lit(0), F.lit(1)))
-    agg = both.groupBy(*on).agg(F.max("d").alias("d"), F.max("u").alias("u"))
-    return agg.select(*on, F.when(F.col("u") == 0, "unused").when(F.col("d") == 0, "undeclared").otherwise("matched").alias("status"))
+    both = declared.select(*on, F.lit(True).alias("d")).union(used.select(*on, F.lit(False)))
+    return reconciled(both, F.col("d"), ~F.col("d"), on)
+
+
+def reconciled(rows: DataFrame, declares: Column, uses: Column, on: list[str]) -> DataFrame:
+    """``reconcile`` of rows of one table, which is read once: those that declare their key and those that use it."""
+    agg = rows.groupBy(*on).agg(F.max(declares).alias("d"), F.max(uses).alias("u"))
+    return agg.select(*on, F.when(~F.col("u"), "unused").when(~F.col("d"), "undeclared").otherwise("matched").alias("status"))
 
 
 def outermost(df: DataFrame, group: list[str], start: str, end: str, tie: list[str]) -> DataFrame:
