@@ -35,30 +35,36 @@ def innermost(points: DataFrame, spans: DataFrame, key: list[str], at: str, star
     Spans are whole numbers, both ends included; one that ends before it starts,
     or has a null end or key, holds nothing. Every span is cut into power-of-two
     cells. All spans of a cell hold the whole cell, so each cell keeps its best
-    span before anything is joined, and a point looks up one cell of each level
-    that occurs: rows grow with points and spans, however many overlap.
+    span before anything is joined, and a point looks up one cell of each level:
+    rows grow with points and spans, however many overlap. Until the best is
+    known a span is one number, which orders start and end, so that cells go
+    through a hash table and are not sorted; the span of the least ``tie`` among
+    those of one number, uncut, is looked up last.
     """
     k = [F.col(c) for c in key]
     lo, hi = F.col(start).cast("bigint"), F.col(end).cast("bigint")
     given = spans.where(lo <= hi).dropna(subset=key)
-    widest = given.agg(F.max(hi - lo + 1)).first()[0] or 0
+    widest, least, most = given.agg(F.max(hi - lo + 1), F.min(lo), F.max(lo)).first()
     if not widest:
         return points.withColumn("__span", F.lit(None).cast(spans.select(F.struct(*spans.columns)).schema[0].dataType))
-    held = given.select(F.struct(*spans.columns).alias("span"), lo.alias("lo"), hi.alias("hi"), *(c.alias(f"__k{j}") for j, c in enumerate(k)), F.struct(*tie).alias("tie"))
+    # A greater start is better, then a lesser end; below 2**126, so a decimal holds what a bigint does not.
+    number = "bigint" if (max(-least, most, 0) + 1) * widest < 1 << 63 else "decimal(38,0)"
+    rank = -lo.cast(number) * F.lit(widest).cast(number) + (hi - lo)
     names = [f"__k{j}" for j in range(len(key))]
-    cut = held.withColumn("c", F.explode(dyadic_cover(F.col("lo"), F.col("hi"), int(widest).bit_length())))
-    # A greater start is better, then a lesser end and a lesser tie.
-    rank = F.struct((-F.col("lo")).alias("lo"), F.col("hi"), F.col("tie"))
-    best = cut.groupBy(*names, F.col("c.level").alias("level"), F.col("c.cell").alias("cell")).agg(F.min_by(F.struct(rank.alias("rank"), "span"), rank).alias("s"))
-    levels = sorted(r.level for r in best.select("level").distinct().collect())  # at most one for each bit of a number
+    ranked = given.select(F.struct(*spans.columns).alias("span"), lo.alias("lo"), hi.alias("hi"), *(c.alias(n) for c, n in zip(k, names)), rank.alias("rank"), F.struct(*tie).alias("tie"))
+    levels = int(widest).bit_length()
+    cut = ranked.select(*names, "rank", F.explode(dyadic_cover(F.col("lo"), F.col("hi"), levels - 1)).alias("c"))
+    best = cut.groupBy(*names, F.col("c.level").alias("level"), F.col("c.cell").alias("cell")).agg(F.min("rank").alias("rank"))
     where = F.col(at).cast("bigint")
     asked = points.select(where.alias("at"), *(c.alias(n) for c, n in zip(k, names))).where(where.isNotNull()).distinct()
-    looks = asked.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumn("cell", F.expr("shiftright(at, level)"))
-    found = looks.join(best, [*names, "level", "cell"]).groupBy(*names, "at").agg(F.min_by("s.span", "s.rank").alias("__span"))
+    looks = asked.withColumn("level", F.explode(F.array(*map(F.lit, range(levels))))).withColumn("cell", F.expr("shiftright(at, level)"))
+    found = looks.join(best, [*names, "level", "cell"]).groupBy(*names, "at").agg(F.min("rank").alias("rank"))
+    held = ranked.groupBy(*names, "rank").agg(F.min_by("span", "tie").alias("__span"))
+    told = found.join(held, [*names, "rank"]).drop("rank").withColumnRenamed("at", "__at")
     on = where == F.col("__at")
     for c, n in zip(k, names):
         on = on & (c == F.col(n))
-    return points.join(found.withColumnRenamed("at", "__at"), on, "left").drop("__at", *names)
+    return points.join(told, on, "left").drop("__at", *names)
 
 
 def as_of(left: DataFrame, right: DataFrame, key: list[str], at: str, carry: list[str], bits: int = 16) -> DataFrame:

@@ -43,6 +43,24 @@ def test_innermost_span(spark):
     assert intervals.innermost(p, s.where("false"), ["k"], "at", "lo", "hi", ["id"]).where("__span is null").count() == len(points)
 
 
+def test_cells_of_spans_are_never_sorted(spark):
+    """A span is many cells, so they go through a hash table; spans too wide or far off for one bigint take the same way."""
+    rng = random.Random(7)
+    far = 1 << 60
+    for starts, widths in (((0, 300), (0, 3, 40)), ((-far, 0, 1 << 40), (0, 5, 1 << 20, 1 << 40, far))):
+        spans = [(rng.choice("ab"), s, s + rng.choice(widths), k) for k, s in enumerate(rng.choice(starts) + rng.randrange(-30, 30) for _ in range(80))]
+        spans += [(k, lo, hi, i + 1000) for k, lo, hi, i in spans[::2]] + [(k, lo, hi, -1 - i) for k, lo, hi, i in spans[::3]]
+        points = [(k, rng.choice("abc"), rng.choice(starts) + rng.randrange(-60, 400)) for k in range(150)]
+        s = spark.createDataFrame(spans, "k string, lo bigint, hi bigint, id int")
+        got = intervals.innermost(spark.createDataFrame(points, "id int, k string, at bigint"), s, ["k"], "at", "lo", "hi", ["id"])
+        plan = got._jdf.queryExecution().executedPlan().toString().splitlines()
+        cut = [k for k, line in enumerate(plan) if "Generate explode(filter(" in line]
+        above = [next(line for line in reversed(plan[:k]) if "Aggregate" in line or "Sort" in line) for k in cut]
+        assert cut and all("HashAggregate" in line for line in above), above
+        inside = [[(-lo, hi, i) for kk, lo, hi, i in spans if kk == k and lo <= at <= hi] for _, k, at in points]
+        assert sorted((r.id, r["__span"].id if r["__span"] else None) for r in got.collect()) == [(p[0], min(c)[2] if c else None) for p, c in zip(points, inside)]
+
+
 def token_rows(streams):
     return [(s, k, t, line, "statement" if stated else "expression") for s, toks in streams.items() for k, (t, line, stated) in enumerate(toks)]
 
